@@ -48,20 +48,14 @@ def detect_brand(file_name: Column, rules, default: str, fold: bool = True) -> C
 
 def parse_volume(c: Column) -> Column:
     """Volume text to ``struct(number, unit)`` in ml, g or un; ``2x100ml`` multiplies."""
-    s = F.lower(strip(c))
+    s = F.lower(c)  # outer blanks change nothing below
     pair = r"(\d+)\s*x\s*(\d+\.?\d*)"
     left = F.regexp_extract(s, pair, 1).try_cast("double")
     right = F.regexp_extract(s, pair, 2).try_cast("double")
     single = F.regexp_extract(s, r"(\d+\.?\d*)", 1).try_cast("double")
-    total = F.when(s.rlike(pair), left * right).otherwise(single)
-    thousand = F.when(total != 0, total * 1000)
-    is_ml, is_kg = s.contains("ml"), s.contains("kg")
-    number = (
-        F.when(is_ml, total)
-        .when(s.contains("l"), thousand)
-        .when(is_kg, thousand)
-        .otherwise(total)
-    )
+    total = F.coalesce(left * right, single)
+    thousandfold = (s.contains("l") & ~s.contains("ml")) | (s.contains("kg") & ~s.contains("l"))
+    number = F.when(thousandfold, F.nullif(total, F.lit(0.0)) * 1000).otherwise(total)
     unit = F.when(s.contains("l"), "ml").when(s.contains("g"), "g").otherwise("un")
     present = c.isNotNull() & (c != "")
     return F.struct(F.when(present, number).alias("number"), F.when(present, unit).alias("unit"))

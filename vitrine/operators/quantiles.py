@@ -16,7 +16,9 @@ _BIN_OFFSET = 1100 * _BINS_PER_DOUBLING
 def _bin(v: Column) -> Column:
     """Bin number that never decreases as the value grows; about one percent wide."""
     size = F.floor(F.log2(F.abs(v)) * _BINS_PER_DOUBLING) + _BIN_OFFSET
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("long")
+    signed = F.when(v > 0, size).when(v < 0, -size)
+    # never null, so that both uses of the counts share one shuffle
+    return F.coalesce(signed.cast("long"), F.lit(0).cast("long"))
 
 
 def exact_percentiles(
