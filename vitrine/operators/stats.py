@@ -52,9 +52,9 @@ def distinct_by(df: DataFrame, key: str, col: str) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Equal-width bins between least and greatest value, the last one closed; empty bins show 0."""
     values = df.select(F.col(col).cast("double").alias("_v")).where("_v IS NOT NULL")
-    lo = values.agg(F.min("_v")).scalar()
-    hi = values.agg(F.max("_v")).scalar()
-    width = (hi - lo) / F.lit(float(bins))
+    span = values.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("s")).scalar()
+    lo = span["lo"]
+    width = (span["hi"] - lo) / F.lit(float(bins))
     index = F.least(F.floor((F.col("_v") - lo) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
     counted = values.groupBy(F.coalesce(index, F.lit(0)).cast("long").alias("bin")).agg(
         F.count(F.lit(1)).alias("n")

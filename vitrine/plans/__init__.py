@@ -1,4 +1,4 @@
 """Registered queries over the test tables, each next to its SQL twin."""
 
-from vitrine.plans import q_aggregates, q_columns  # noqa: F401
+from vitrine.plans import q_aggregates, q_categories, q_columns, q_rules  # noqa: F401
 from vitrine.plans.registry import ORACLES, QUERIES  # noqa: F401
