@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vitrine.functions import numbers as N, text as X
 from vitrine.operators.projections import add_features
 from vitrine.plans.registry import table
+from vitrine.session import materialise
 
 BRANDS = ["aurora", "brisa"]
 CYCLES = list(range(1, 13))
@@ -29,7 +30,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
     brand = F.expr("case when l_linestatus = 'O' then 'aurora' else 'brisa' end")
     cycle = F.month("l_shipdate")
@@ -85,8 +86,22 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_features(products(spark, sf_dir))
+    """Product table with derived columns, worked out once per session and stored as Parquet.
+
+    The analyses then scan plain columns: pruning and pushed filters apply to them.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = materialise(add_features(derive_products(spark, sf_dir)), "products")
+    return _STORED[key]
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return featured(spark, sf_dir)
 
 
 PRODUCTS_SQL = """

@@ -70,6 +70,6 @@ DOCUMENT = T.StructType([
 
 PAGE_RESPONSE = T.StructType([
     T.StructField("source_file", T.StringType()),
-    T.StructField("page_number", T.IntegerType()),
+    T.StructField("page_number", T.LongType()),
     T.StructField("raw_response", T.StringType()),
 ])

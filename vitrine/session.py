@@ -37,9 +37,8 @@ def work_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="vitrine-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vitrine-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def new_run_dir(spark: SparkSession, label: str) -> str:
@@ -48,7 +47,10 @@ def new_run_dir(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss.
+
+    Row groups are kept small enough that a file written by one task is read by several.
+    """
     path = new_run_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 8 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
