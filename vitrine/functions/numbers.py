@@ -27,12 +27,11 @@ def parse_price(c: Column, default: float | None = None) -> Column:
     return number if default is None else F.coalesce(number, F.lit(float(default)))
 
 
-def price_from_variant(v: Column, path: str, default: float | None = None) -> Column:
-    """Price inside a JSON variant: a number passes through, a quoted text is parsed."""
-    is_text = F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
-    number = F.when(
-        F.coalesce(is_text, F.lit(False)), parse_price(F.try_variant_get(v, path, "string"))
-    ).otherwise(F.try_variant_get(v, path, "double"))
+def price_from_variant(v: Column, default: float | None = None) -> Column:
+    """Price held as a JSON variant: a number passes through, a quoted text is parsed."""
+    is_text = F.schema_of_variant(v) == "STRING"
+    number = F.when(is_text, parse_price(F.try_variant_get(v, "$", "string"))).otherwise(
+        F.try_variant_get(v, "$", "double"))
     return number if default is None else F.coalesce(number, F.lit(float(default)))
 
 

@@ -11,13 +11,16 @@ from vitrine import constants as K
 # Accented Latin letters and their plain forms, position by position.
 ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
 PLAIN = "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
+# Fixed value: characters that count as blank at the ends of a text.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B))
 # Fixed value: a token is two or more letters, digits or underscores.
 TOKEN_PATTERN = r"([\p{L}\p{N}_]{2,})"
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of blank, line breaks included."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def fold_accents(c: Column) -> Column:
@@ -69,8 +72,10 @@ def norm_promo_type(c: Column) -> Column:
 
 def strip_fence(c: Column) -> Column:
     """Drop the markdown fence around a JSON text."""
-    opened = F.regexp_replace(c, r"^\s*(?:```json)?(?:```)?", "")
-    return strip(F.regexp_replace(opened, r"(?:```)?\s*$", ""))
+    t = strip(c)
+    cut = F.when(t.startswith("```json"), 8).when(t.startswith("```"), 4).otherwise(1)
+    kept = F.when(t.endswith("```"), F.length(t) - 3).otherwise(F.length(t)) - cut + 1
+    return strip(F.substring(t, cut, kept))
 
 
 def clean_text(c: Column) -> Column:

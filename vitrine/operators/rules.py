@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine import constants as K
 from vitrine.functions.numbers import rounded
+from vitrine.functions.text import strip
 from vitrine.operators.categories import normalize_categories
 from vitrine.schema import ALERT
 
@@ -54,7 +55,7 @@ def rule_code() -> list[Column]:
 
 def rule_name() -> list[Column]:
     c = F.col("nome")
-    short = _true(F.length(F.regexp_replace(c, r"^\s+|\s+$", "")) < K.MIN_NAME_LENGTH) | c.isNull()
+    short = _true(F.length(strip(c)) < K.MIN_NAME_LENGTH) | c.isNull()
     unusual = F.length(F.regexp_replace(c, _NAME_OK, "")) > 0
     return [
         _alert(short, "error", "nome", _text("name_short"), c),

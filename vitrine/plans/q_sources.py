@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vitrine.operators import projections as P, stats as S
 from vitrine.plans.products import on_products, products
 from vitrine.plans.registry import query, table
-from vitrine.session import new_run_dir
+from vitrine.session import materialise, new_run_dir
 from vitrine.sources import catalogs as C, pages as PG, responses as RS
 from vitrine.streaming.ingest import read_ingested, stream_pages
 
@@ -93,7 +93,18 @@ def s07(spark, d):
     return spark.read.schema(frame.schema).option("header", "true").csv(path)
 
 
+_ANSWERS: dict[tuple[str, str], DataFrame] = {}
+
+
 def responses(spark, d):
+    """Stored page answers, derived once per session from the product rows."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _ANSWERS:
+        _ANSWERS[key] = materialise(derive_responses(spark, d), "responses")
+    return _ANSWERS[key]
+
+
+def derive_responses(spark, d):
     """A page answer per product row: every tenth kind of fault is worked in by position."""
     kind = F.col("pos") % 10
     p = products(spark, d).withColumn("kind", kind)
