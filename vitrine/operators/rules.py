@@ -14,7 +14,7 @@ from vitrine.functions.text import strip
 from vitrine.operators.categories import normalize_categories
 from vitrine.schema import ALERT
 
-_NAME_OK = r"(?U)[\w\s" + "".join("\\" + ch if ch in "/-+()" else ch for ch in K.NAME_EXTRA_CHARACTERS.replace("\\", "")) + "]"
+_NAME_UNUSUAL = r"(?U)[^\w\s" + K.NAME_EXTRA_CHARACTERS + "]"
 
 
 def _text(key: str, *args: Column) -> Column:
@@ -56,10 +56,9 @@ def rule_code() -> list[Column]:
 def rule_name() -> list[Column]:
     c = F.col("nome")
     short = _true(F.length(strip(c)) < K.MIN_NAME_LENGTH) | c.isNull()
-    unusual = F.length(F.regexp_replace(c, _NAME_OK, "")) > 0
     return [
         _alert(short, "error", "nome", _text("name_short"), c),
-        _alert(~short & unusual, "info", "nome", _text("name_unusual"), c),
+        _alert(~short & c.rlike(_NAME_UNUSUAL), "info", "nome", _text("name_unusual"), c),
     ]
 
 
