@@ -35,15 +35,11 @@ def items(spark, d):
 
 
 def checked(spark, d):
-    return V.validate(items(spark, d), derived_dim_for_rules(spark, d))
-
-
-def derived_dim_for_rules(spark, d):
-    return derived_dim(spark, d)
+    return V.validate(items(spark, d), derived_dim(spark, d))
 
 
 ALERT_SQL = """
-i AS (SELECT source_file, brand, cycle, pagina, pos, m, linha,
+i AS (SELECT source_file, brand, cycle, pagina, pos, c, m, linha,
     CASE m WHEN 0 THEN '' WHEN 1 THEN 'A' || codigo_raw ELSE codigo_raw END AS codigo,
     CASE m WHEN 2 THEN 'ab' WHEN 3 THEN nome || '#' ELSE nome END AS nome, categoria_raw AS categoria,
     CASE WHEN categoria_normalizada <> 'Outros' THEN categoria_normalizada END AS cn,
@@ -83,10 +79,10 @@ al AS (
     WHERE promo_type = 'progressive_discount' AND len(tier_values) = 0
   UNION ALL SELECT *, 13, 'warning', 'regra_promocional', 'Combo rule has no combo codes defined', NULL, NULL FROM w
     WHERE promo_type = 'combo' AND len(combo_codes) = 0),
-rows_al AS (SELECT w.*, (SELECT COUNT(*) FROM (SELECT 1)) AS one, COALESCE(g.n, 0) AS n_al, COALESCE(g.err, 0) AS err, COALESCE(g.warn, 0) AS warn, g.sig
-  FROM w LEFT JOIN (SELECT pagina, pos, COUNT(*) AS n, COUNT(*) FILTER (WHERE level = 'error') AS err,
+rows_al AS (SELECT w.*, COALESCE(g.n, 0) AS n_al, COALESCE(g.err, 0) AS err, COALESCE(g.warn, 0) AS warn, g.sig
+  FROM w LEFT JOIN (SELECT pagina, pos, c, COUNT(*) AS n, COUNT(*) FILTER (WHERE level = 'error') AS err,
     COUNT(*) FILTER (WHERE level = 'warning') AS warn, string_agg(level || ':' || field || ':' || message, '|' ORDER BY o) AS sig
-    FROM al GROUP BY 1, 2) g USING (pagina, pos)),
+    FROM al GROUP BY 1, 2, 3) g USING (pagina, pos, c)),
 last AS (SELECT codigo, COUNT(*) AS n, max({'pagina': pagina, 'pos': pos}) FILTER (WHERE n_al > 0) AS k FROM rows_al GROUP BY 1),
 batch AS (SELECT l.codigo, a.level, a.field, a.o FROM last l JOIN al a ON a.pagina = l.k.pagina AND a.pos = l.k.pos AND a.codigo = l.codigo
   UNION ALL SELECT codigo, 'warning', 'codigo', 99 FROM last WHERE n > 1)
