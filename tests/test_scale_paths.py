@@ -110,3 +110,17 @@ def test_association_rules_by_hand(spark):
     out = B.association_rules(spark.createDataFrame(rows, "g int, i string"), ["g"], "i", 0.5, 0.5)
     assert {(r["antecedent"], r["consequent"]): (r["support"], r["confidence"], r["lift"]) for r in out.collect()} == {
         ("a", "b"): (0.5, 0.6667, 1.3333), ("b", "a"): (0.5, 1.0, 1.3333)}
+
+
+def test_nearest_items_are_exact(spark):
+    rng = random.Random(13)
+    rows = [(i, t, "hot" if rng.random() < 0.4 else f"c{rng.randint(0, 4)}", rng.choice(["l1", "l2", None])) for i, t in corpus(120)]
+    df = spark.createDataFrame(rows, "id long, t string, c string, l string")
+    sims = brute_similarities(spark, df, [(r[0], r[1]) for r in rows])
+    got = {}
+    for r in T.nearest_items(df, "id", "t", {"c": 0.3, "l": 0.2}, 0.5, 4).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["similarity"]
+    for i, _, c, l in rows:
+        score = lambda o: 0.5 * sims[i, o[0]] + 0.3 * (c == o[2]) + 0.2 * (l is not None and l == o[3])
+        want = sorted((x for x in (score(o) for o in rows if o[0] != i) if x > 0), reverse=True)[:4]
+        assert np.allclose([got[i][k] for k in sorted(got[i])], want, atol=3e-6), i
