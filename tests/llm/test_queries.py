@@ -1,0 +1,17 @@
+"""Registered queries of the subpackage: SQL twins, contract columns."""
+
+import pytest
+from oracle import compare, connect
+
+from vitrine.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_twin(spark, name):
+    assert compare(QUERIES[name](spark, SF), connect(SF), ORACLES[name]) is None
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))

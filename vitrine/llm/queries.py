@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import langid, simhash, tokens, topk, urls
+from vitrine.llm import langid, mixing, pii, simhash, tokens, topk, urls
 from vitrine.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from vitrine.plans.registry import table
 
@@ -57,3 +57,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, ["doc_id"], host=docs["source"])
+
+
+@query("op4_source_mixing", mixing.mixing_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, made = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    named = ("source", "lang", "topic", "tokens", "weight", "probability", "sampled")
+    return out.select("doc_id", *(out[made[n]].alias(n) for n in named))
+
+
+@query("op5_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))

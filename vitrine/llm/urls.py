@@ -72,7 +72,7 @@ def grams(host: str, path: str) -> list[int]:
 def _design(rows: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers, buckets and values; each row has length one."""
     found = [np.unique(grams(h, p)) for h, p in rows]
-    sizes = np.array([len(f) for f in found])
+    sizes = np.array([len(f) for f in found], int)
     return np.repeat(np.arange(len(rows)), sizes), np.concatenate(found or [np.array([], int)]).astype(int), np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes)
 
 
