@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import langid, mixing, pii, simhash, tokens, topk, urls
+from vitrine.llm import decontam, langid, mixing, pii, simhash, tokens, topk, urls
 from vitrine.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from vitrine.plans.registry import table
 
@@ -69,3 +69,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_personal_data")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
