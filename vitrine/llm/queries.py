@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import decontam, langid, mixing, pii, simhash, tokens, topk, urls
+from vitrine.llm import chat, decontam, langid, mixing, pii, quality, simhash, tokens, topk, urls
 from vitrine.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from vitrine.plans.registry import table
 
@@ -74,3 +74,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_chat_format")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parse(table(spark, sf_dir, "conversations"))
