@@ -19,7 +19,20 @@ def document_rows(spark, d):
     rule = F.struct(F.col("promo_type").alias("type"), F.lit(None).cast("string").alias("description"),
                     F.create_map().cast("map<string,string>").alias("conditions"), "discount_tiers", "combo_codes",
                     F.array().cast("array<int>").alias("related_pages"))
-    return products(spark, d).withColumn("regra_promocional", F.when(F.col("promo_type") != "none", rule))
+    alert = F.struct(F.lit("ERROR").alias("level"), F.lit("preco_promocional").alias("field"), F.lit("acima do regular").alias("message"),
+                     F.col("preco_promocional").cast("string").alias("original_value"), F.lit(None).cast("string").alias("corrected_value"))
+    return products(spark, d).withColumns({
+        "pos": F.expr("pos div 100000000000000000"),  # the place on the page, first part of the number
+        "regra_promocional": F.when(F.col("promo_type") != "none", rule),
+        "alertas": F.when(F.col("preco_promocional") > F.col("preco_regular"), F.array(alert)).otherwise(F.array().cast("array<struct<level:string,field:string,message:string,original_value:string,corrected_value:string>>"))})
+
+
+def global_rules(spark, d):
+    """Two rules for each promotion type of a catalogue that differ in their page only."""
+    types = products(spark, d).groupBy("source_file", F.col("promo_type").alias("type")).agg(F.min("pagina").alias("low"), F.max("pagina").alias("high"))
+    return types.select("source_file", "type", F.lit(None).cast("string").alias("description"), F.create_map().cast("map<string,string>").alias("conditions"),
+                        F.create_map().cast("map<string,double>").alias("discount_tiers"), F.array().cast("array<string>").alias("combo_codes"),
+                        F.explode(F.array(F.array(F.col("low").cast("int")), F.array(F.col("high").cast("int"), F.col("low").cast("int")))).alias("related_pages"))
 
 
 def headers(spark, d):
@@ -35,13 +48,14 @@ def written(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _WRITTEN:
         path = new_run_dir(spark, "documents")
-        C.write_catalogs(document_rows(spark, d), headers(spark, d), path)
+        C.write_catalogs(document_rows(spark, d), headers(spark, d), path, global_rules(spark, d))
         _WRITTEN[key] = path
     return _WRITTEN[key]
 
 
 @query("s01_read_catalogs", on_products("""SELECT source_file, brand, cycle, pagina, codigo, nome, linha, categoria, preco_regular,
-  preco_promocional, economia, promocao_ativa, promo_type, CAST(len(combo_codes) AS INTEGER) AS combos, COALESCE(feature_len, 0) AS features, 0 AS alert_count FROM p"""))
+  preco_promocional, economia, promocao_ativa, promo_type, CAST(len(combo_codes) AS INTEGER) AS combos, COALESCE(feature_len, 0) AS features,
+  CASE WHEN preco_promocional > preco_regular THEN 1 ELSE 0 END AS alert_count FROM p"""))
 def s01(spark, d):
     df = C.read_catalogs(spark, written(spark, d), "lines", BRAND_RULES, "none")
     return df.select("source_file", "brand", "cycle", F.col("pagina").cast("long").alias("pagina"), "codigo", "nome", "linha",
@@ -57,16 +71,6 @@ def s02(spark, d):
     return C.read_catalogs(spark, path, "lines", BRAND_RULES, "none").groupBy("brand").agg(F.countDistinct("source_file").alias("catalogs"), F.count(F.lit(1)).alias("products"))
 
 
-@query("s03_list_files")
-def s03(spark, d):
-    return C.list_files(spark, d, "*.parquet")
-
-
-@query("s04_list_extractions")
-def s04(spark, d):
-    return C.list_extractions(spark, written(spark, d)).select("name", "bytes")
-
-
 @query("s05_headers", on_products("""SELECT source_file, brand, cycle, CAST(COUNT(DISTINCT pagina) AS INTEGER) AS total_pages,
   CAST(make_date(2024, cycle, 1) AS VARCHAR) AS validity_start, CAST(last_day(make_date(2024, cycle, 1)) AS VARCHAR) AS validity_end FROM p GROUP BY 1, 2, 3"""))
 def s05(spark, d):
@@ -79,9 +83,25 @@ def s05(spark, d):
   array_to_string(list_sort(list(DISTINCT categoria_normalizada)), ';') AS categories, COUNT(*) AS listed FROM p GROUP BY 1"""))
 def s06(spark, d):
     docs = C.read_documents(spark, written(spark, d), "lines")
-    return docs.select("source_file", "document.statistics.*", F.size("document.products").alias("n")).groupBy(
-        "source_file", "total_products", "products_with_promotion", F.array_join("categories", ";").alias("categories")).agg(
-        F.sum("n").alias("listed"))
+    return docs.groupBy("source_file").agg(
+        F.max("document.statistics.total_products").alias("total_products"),
+        F.max("document.statistics.products_with_promotion").alias("products_with_promotion"),
+        F.max(F.array_join("document.statistics.categories", ";")).alias("categories"), F.sum(F.size("document.products")).cast("long").alias("listed"))
+
+
+@query("s06_global_rules", on_products("""SELECT source_file, promo_type AS type, unnest([1, 2]) AS pages, CAST(unnest([MIN(pagina), MAX(pagina)]) AS INTEGER) AS first_page
+  FROM p GROUP BY 1, 2"""))
+def s06_rules(spark, d):
+    rules = C.read_global_rules(spark, written(spark, d), "lines")
+    return rules.select("source_file", "type", F.size("related_pages").alias("pages"), F.col("related_pages")[0].alias("first_page"))
+
+
+@query("s06_round_trip", on_products("""SELECT source_file, pagina, codigo, preco_regular, preco_promocional, promo_type, 'ERROR' AS level,
+  'preco_promocional' AS field, 'acima do regular' AS message FROM p WHERE preco_promocional > preco_regular"""))
+def s06_alerts(spark, d):
+    rows = C.read_catalogs(spark, written(spark, d), "lines", BRAND_RULES, "none")
+    each = rows.select("source_file", F.col("pagina").cast("long").alias("pagina"), "codigo", "preco_regular", "preco_promocional", "promo_type", F.explode("alertas").alias("a"))
+    return each.select("source_file", "pagina", "codigo", "preco_regular", "preco_promocional", "promo_type", "a.level", "a.field", "a.message")
 
 
 @query("s07_flat_csv", on_products("""SELECT codigo, nome, COALESCE(linha, '-') AS linha, categoria_normalizada, COALESCE(volume_peso, '-') AS volume_peso,
