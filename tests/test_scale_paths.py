@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vitrine.operators import baskets as B, quantiles as Q, texts as T
@@ -60,7 +61,9 @@ def brute_similarities(spark, df, rows):
     return sims
 
 
-def test_similar_items_are_exact(spark):
+@pytest.mark.parametrize("block", [2048, 20])
+def test_similar_items_are_exact(spark, monkeypatch, block):
+    monkeypatch.setattr(T, "BLOCK", block)
     rows = corpus(150)
     df = spark.createDataFrame(rows, "id long, t string")
     sims = brute_similarities(spark, df, rows)
@@ -68,11 +71,13 @@ def test_similar_items_are_exact(spark):
     for r in T.similar_items(df, "id", "t", 4).collect():
         got.setdefault(r["id"], {})[r["rank"]] = r["similarity"]
     for i, _ in rows:
-        want = sorted((s for (a, _), s in sims.items() if a == i and s > 0), reverse=True)[:4]
+        want = sorted((s for (a, _), s in sims.items() if a == i), reverse=True)[:4]
         assert np.allclose([got[i][k] for k in sorted(got[i])], want, atol=2e-6), i
 
 
-def test_cosine_pairs_are_complete(spark):
+@pytest.mark.parametrize("block", [2048, 20])
+def test_cosine_pairs_are_complete(spark, monkeypatch, block):
+    monkeypatch.setattr(T, "BLOCK", block)
     rows = corpus(120)
     df = spark.createDataFrame(rows, "id long, t string")
     sims = brute_similarities(spark, df, rows)
@@ -112,6 +117,27 @@ def test_association_rules_by_hand(spark):
         ("a", "b"): (0.5, 0.6667, 1.3333), ("b", "a"): (0.5, 1.0, 1.3333)}
 
 
+def test_items_without_terms_still_have_partners(spark):
+    rows = [(1, "abc abc"), (2, None), (3, "zz zz"), (4, ""), (5, "abc")]
+    out = T.similar_items(spark.createDataFrame(rows, "id long, t string"), "id", "t", 3, max_features=1).collect()
+    assert len(out) == 15
+    assert [(r["similar_id"], r["similarity"]) for r in sorted(out, key=lambda r: r["rank"]) if r["id"] == 5] == [(1, 1.0), (2, 0.0), (3, 0.0)]
+
+
+def test_itemset_support_is_a_share_of_all_groups(spark):
+    rows = [(g, i) for g in range(2) for i in "AB"] + [(2, "A"), (3, "B")] + [(g, f"rare{g}") for g in range(4, 10)]
+    found = B.frequent_itemsets(spark.createDataFrame(rows, "g int, i string"), ["g"], "i", 0.3).collect()
+    assert sorted((r["items"], r["count"]) for r in found) == [(["A"], 3), (["B"], 3)]
+
+
+def test_combo_members_without_a_price(spark):
+    rows = [(1, "a", 10.0, "none", []), (2, "x", 6.0, "combo", ["a", "b"]), (3, "y", 5.0, "combo", ["a"]), (4, "z", 5.0, "combo", ["b"])]
+    df = spark.createDataFrame(rows, "pos int, codigo string, preco_regular double, promo_type string, combo_codes array<string>").withColumns(
+        {"preco_promocional": F.lit(None).cast("double"), "brand": F.lit("k"), "categoria_normalizada": F.lit("c")})
+    got = {r["pos"]: (r["members"], r["priced_members"], r["saving"]) for r in B.combo_saving(df, ["pos"]).collect()}
+    assert got == {2: (2, 1, None), 3: (1, 1, 5.0), 4: (1, 0, None)}
+
+
 def test_nearest_items_are_exact(spark):
     rng = random.Random(13)
     rows = [(i, t, "hot" if rng.random() < 0.4 else f"c{rng.randint(0, 4)}", rng.choice(["l1", "l2", None])) for i, t in corpus(120)]
@@ -122,5 +148,5 @@ def test_nearest_items_are_exact(spark):
         got.setdefault(r["id"], {})[r["rank"]] = r["similarity"]
     for i, _, c, l in rows:
         score = lambda o: 0.5 * sims[i, o[0]] + 0.3 * (c == o[2]) + 0.2 * (l is not None and l == o[3])
-        want = sorted((x for x in (score(o) for o in rows if o[0] != i) if x > 0), reverse=True)[:4]
+        want = sorted((score(o) for o in rows if o[0] != i), reverse=True)[:4]
         assert np.allclose([got[i][k] for k in sorted(got[i])], want, atol=3e-6), i

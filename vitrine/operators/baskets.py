@@ -46,9 +46,13 @@ def pair_counts(df: DataFrame, group: list[str], item: str) -> DataFrame:
     )
     inside = sets.where(F.size("_items") > 1).groupBy("_items").agg(F.count(F.lit(1)).alias("_w")).select(
         F.explode(_pairs_inside(F.col("_items"))).alias("_p"), "_w")
-    many = sets.where("_sets > 1").drop("_sets")
-    other = many.select(*group, F.col("_set").alias("_set2"), F.col("_items").alias("_items2"))
-    between = many.join(other, group).where("_set < _set2").groupBy("_items", "_items2").agg(
+    # a group of several sets is a grid of set pairs; each cell is a key of its own, so a group of any
+    # size is spread over as many tasks as it has cells
+    many = sets.where("_sets > 1")
+    row = many.select(*group, "_items", F.col("_set").alias("_i"), F.explode(F.sequence(F.col("_set") + 1, F.col("_sets"))).alias("_j")).where("_j < _sets")
+    column = many.where("_set > 0").select(*group, F.col("_items").alias("_items2"), F.col("_set").alias("_j"),
+                                           F.explode(F.sequence(F.lit(0).cast("long"), F.col("_set") - 1)).alias("_i"))
+    between = row.join(column, [*group, "_i", "_j"]).groupBy("_items", "_items2").agg(
         F.count(F.lit(1)).alias("_w")
     ).select(F.explode(_pairs_between(F.col("_items"), F.col("_items2"))).alias("_p"), "_w")
     return inside.unionByName(between).groupBy(
@@ -106,15 +110,21 @@ def combo_pairs(edges: DataFrame, combo: list[str]) -> DataFrame:
 
 
 def combo_saving(df: DataFrame, ids: list[str]) -> DataFrame:
-    """Bundle price of each combo row against the summed mean regular prices of its members."""
+    """Bundle price of each combo row against the summed mean regular prices of its members.
+
+    ``priced_members`` counts the members with a known price; if any is missing, the members' price and
+    the saving are null.
+    """
     edges = combo_edges(df.withColumn("_bundle", F.coalesce("preco_promocional", "preco_regular")), [*ids, "_bundle"])
     prices = df.where("codigo IS NOT NULL").groupBy(F.col("codigo").alias("target")).agg(
         F.avg("preco_regular").alias("_price"))
-    found = edges.join(prices, "target").groupBy(*ids).agg(
-        F.count(F.lit(1)).alias("members"), F.sum("_price").alias("_sum"), F.first("_bundle").alias("_bundle"))
+    found = edges.join(prices, "target", "left").groupBy(*ids).agg(
+        F.count(F.lit(1)).alias("members"), F.count("_price").alias("priced_members"), F.sum("_price").alias("_sum"),
+        F.first("_bundle").alias("_bundle"))
+    whole = F.when(F.col("members") == F.col("priced_members"), F.col("_sum"))
     return found.select(
-        *ids, "members", rounded(F.col("_bundle")).alias("bundle_price"), rounded(F.col("_sum")).alias("members_price"),
-        rounded(F.col("_sum") - F.col("_bundle")).alias("saving"))
+        *ids, "members", "priced_members", rounded(F.col("_bundle")).alias("bundle_price"), rounded(whole).alias("members_price"),
+        rounded(whole - F.col("_bundle")).alias("saving"))
 
 
 def _frequent(df: DataFrame, group: list[str], item: str, min_support: float):
@@ -143,7 +153,13 @@ def association_rules(
 
 def frequent_itemsets(df: DataFrame, group: list[str], item: str, min_support: float) -> DataFrame:
     """Item sets of any size that reach the support; an array holds frequent items only."""
-    members, _, _ = _frequent(df, group, item, min_support)
+    members, _, n = _frequent(df, group, item, min_support)
     arrays = members.groupBy(*group).agg(F.collect_list("_item").alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(arrays).freqItemsets
+    # groups without a frequent item count as well: the share is that of all groups
+    some = arrays.count()
+    if not some:
+        return arrays.select("items", F.lit(0).cast("long").alias("count"))
+    total = members.sparkSession.range(1).select(n.alias("n")).first()["n"]
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * total / some)).fit(arrays).freqItemsets
+    found = found.where(F.col("freq") / total >= min_support)
     return found.select(F.sort_array("items").alias("items"), F.col("freq").alias("count"))

@@ -63,11 +63,14 @@ def a26b(spark, d):
 
 
 @query("d07_combo_saving", on_products(f"""WITH {EDGES}, c AS (SELECT codigo, AVG(preco_regular) AS price FROM p GROUP BY 1)
-SELECT e.pagina, e.pos, COUNT(*) AS members, {rnd('MIN(COALESCE(preco_promocional, preco_regular))')} AS bundle_price,
-  {rnd('SUM(price)')} AS members_price, {rnd('SUM(price) - MIN(COALESCE(preco_promocional, preco_regular))')} AS saving
-  FROM e JOIN c ON c.codigo = target JOIN p ON p.pagina = e.pagina AND p.pos = e.pos GROUP BY 1, 2"""))
+SELECT e.pagina, e.pos, COUNT(*) AS members, COUNT(price) AS priced_members, {rnd('MIN(COALESCE(preco_promocional, preco_regular))')} AS bundle_price,
+  CASE WHEN COUNT(*) = COUNT(price) THEN {rnd('SUM(price)')} END AS members_price,
+  CASE WHEN COUNT(*) = COUNT(price) THEN {rnd('SUM(price) - MIN(COALESCE(preco_promocional, preco_regular))')} END AS saving
+  FROM e LEFT JOIN c ON c.codigo = target AND c.codigo <> '7' JOIN p ON p.pagina = e.pagina AND p.pos = e.pos GROUP BY 1, 2"""))
 def d07(spark, d):
-    return B.combo_saving(products(spark, d), ["pagina", "pos"])
+    p = products(spark, d)
+    unpriced = p.withColumn("preco_regular", F.when(F.col("codigo") != "7", F.col("preco_regular")))  # a member nobody knows the price of
+    return B.combo_saving(unpriced, ["pagina", "pos"])
 
 
 @query("d08_combo_pairs", on_products(f"""WITH {EDGES}, m AS (SELECT DISTINCT pagina, pos, target FROM e)
