@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from vitrine import constants as K
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def rounded(c: Column, digits: int = 2) -> Column:
@@ -23,7 +23,7 @@ def parse_price(c: Column, default: float | None = None) -> Column:
     """Price text to number: drops the currency sign, blanks and dots, comma becomes the point."""
     text = F.replace(c, F.lit("R$"), F.lit(""))
     text = F.translate(text, ",. ", ".")
-    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
     return number if default is None else F.coalesce(number, F.lit(float(default)))
 
 

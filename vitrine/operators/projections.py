@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from vitrine import constants as K
 from vitrine.functions import numbers as N, text as X
@@ -50,7 +50,12 @@ def sanitize_promo_price(df: DataFrame) -> DataFrame:
 
 def coerce_numbers(df: DataFrame, cols: list[str] = K.NUMERIC_COLUMNS) -> DataFrame:
     """Numbers from text; what is no number becomes null."""
-    return df.withColumns({c: F.col(c).try_cast("double") for c in cols if c in df.columns})
+    def number(c: str) -> Column:
+        if df.schema[c].dataType.typeName() != "string":
+            return F.col(c).try_cast("double")
+        return F.when(X.strip(F.col(c)).rlike(N.NUMBER), F.col(c).try_cast("double"))  # no NaN, no `1.5d`
+
+    return df.withColumns({c: number(c) for c in cols if c in df.columns})
 
 
 def sanitize_text(df: DataFrame, cols: list[str] = K.TEXT_COLUMNS) -> DataFrame:

@@ -21,8 +21,8 @@ def top_counts_by(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, ids: list[str], n: int, seed: int = 42) -> DataFrame:
-    """Simple random sample of ``n`` rows, repeatable for a seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *ids), *ids).limit(n)
+    """Simple random sample of ``n`` rows, repeatable for a seed: the first by a hash of seed and ids."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), *ids)), *ids).limit(n)
 
 
 def ordered(df: DataFrame, keys: list) -> DataFrame:

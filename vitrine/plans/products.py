@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vitrine.functions import numbers as N, text as X
 from vitrine.operators.projections import add_features
 from vitrine.plans.registry import table
-from vitrine.session import materialise, spread
+from vitrine.session import materialise
 
 BRANDS = ["aurora", "brisa"]
 CYCLES = list(range(1, 13))
@@ -18,7 +18,7 @@ CYCLES = list(range(1, 13))
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with their part and the integer helpers c, d, t, pc."""
-    lines = spread(table(spark, sf_dir, "lineitem"))
+    lines = table(spark, sf_dir, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
     part = table(spark, sf_dir, "part").drop("p_retailprice")
     joined = lines.join(part, lines.l_partkey == part.p_partkey).withColumns({
         "c": F.expr("cast(floor(l_extendedprice / 4) as bigint)"),

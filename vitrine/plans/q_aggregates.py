@@ -376,7 +376,8 @@ def w03b(spark, d):
     return S.with_share(S.counts_by(products(spark, d), ["brand", "linha"]), "count", ["brand"])
 
 
-@query("w04_sample_rows")
+@query("w04_sample_rows", on_products("""SELECT pagina, pos, codigo, nome FROM p
+  ORDER BY md5('42|' || CAST(pagina AS VARCHAR) || '|' || CAST(pos AS VARCHAR)), pagina, pos LIMIT 1000"""))
 def w04(spark, d):
     return R.sample_rows(products(spark, d).select("pagina", "pos", "codigo", "nome"), ["pagina", "pos"], 1000)
 

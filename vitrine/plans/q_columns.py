@@ -111,11 +111,11 @@ def p14(spark, d):
     return P.sanitize_promo_price(df).select(*KEY, "preco_promocional")
 
 
-@query("p15_coerce_numbers", on_products("""SELECT pagina, pos, CASE WHEN preco_text = 'n/a' THEN NULL
+@query("p15_coerce_numbers", on_products("""SELECT pagina, pos, CASE WHEN preco_text = 'n/a' OR pagina % 50 IN (7, 9) THEN NULL
   ELSE preco_regular END AS preco_regular, economia FROM p"""))
 def p15(spark, d):
     df = products(spark, d).select(
-        *KEY, F.when(F.col("preco_text") == "n/a", "n/a").otherwise(F.col("preco_regular").cast("string")).alias("preco_regular"),
+        *KEY, F.when(F.col("preco_text") == "n/a", "n/a").when(F.col("pagina") % 50 == 7, "NaN").when(F.col("pagina") % 50 == 9, "1.5d").otherwise(F.col("preco_regular").cast("string")).alias("preco_regular"),
         F.coalesce(F.col("economia").cast("string"), F.lit("?")).alias("economia"))
     return P.coerce_numbers(df, ["preco_regular", "economia"])
 

@@ -69,7 +69,7 @@ def d12(spark, d):
 def d14(spark, d):
     f = CL.impute_promo(featured(spark, d)).withColumn("desconto_calculado", effective_discount(
         F.col("preco_promocional"), F.col("preco_regular"), F.col("desconto_percentual")))
-    return CL.cluster_profiles(CL.kmeans(f.select("pagina", "pos", *CL.FEATURES), 4, starts=1))
+    return CL.cluster_profiles(CL.kmeans(f.select("pagina", "pos", *CL.FEATURES), 4))
 
 
 G = "g AS (SELECT categoria_normalizada, cycle, AVG(preco_regular) AS y, AVG(CAST(promocao_ativa AS DOUBLE)) * 100 AS r FROM p GROUP BY 1, 2)"
@@ -128,12 +128,12 @@ def m01(spark, d):
 
 @query("m02_kmeans_sweep")
 def m02(spark, d):
-    return CL.kmeans_sweep(featured(spark, d).select("pagina", "pos", *CL.FEATURES), starts=1)
+    return CL.kmeans_sweep(featured(spark, d).select("pagina", "pos", *CL.FEATURES))
 
 
 @query("m03_kmeans")
 def m03(spark, d):
-    return CL.kmeans(featured(spark, d).select("pagina", "pos", *CL.FEATURES), 4, starts=3)
+    return CL.kmeans(featured(spark, d).select("pagina", "pos", *CL.FEATURES), 4)
 
 
 @query("m04_cluster_profiles", on_features(f"""WITH g AS (SELECT CAST(cycle AS INTEGER) AS cluster, COUNT(preco_regular) AS count, {rnd('AVG(preco_regular)')} AS avg_price,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,7 +41,9 @@ def work_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vitrine-"))
+    folder = tempfile.mkdtemp(prefix="vitrine-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # a local session leaves nothing behind
+    spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -48,17 +52,8 @@ def new_run_dir(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Split a plain scan that has fewer pieces than there are cores; leave any other alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss.
-
-    Row groups are kept small enough that a file written by one task is read by several.
-    """
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
     path = new_run_dir(df.sparkSession, label)
-    df.write.option("parquet.block.size", 8 << 20).parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
