@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import baskets as B, quantiles as Q, texts as T
+from vitrine.operators import baskets as B, quantiles as Q, stats as S, texts as T
 from vitrine.sources import pages as PG
 
 
@@ -150,3 +150,16 @@ def test_nearest_items_are_exact(spark):
         score = lambda o: 0.5 * sims[i, o[0]] + 0.3 * (c == o[2]) + 0.2 * (l is not None and l == o[3])
         want = sorted((score(o) for o in rows if o[0] != i), reverse=True)[:4]
         assert np.allclose([got[i][k] for k in sorted(got[i])], want, atol=3e-6), i
+
+
+def test_labels_outside_the_list_count_in_the_total(spark):
+    rows = [("a", "x"), ("a", "x"), ("a", "new"), ("a", None), ("b", "new")]
+    df = spark.createDataFrame(rows, "k string, l string")
+    assert sorted(map(tuple, S.crosstab_pct(df, "k", "l", ["x", "y"], "rest").collect())) == [("a", 66.67, 0.0, 33.33), ("b", 0.0, 0.0, 100.0)]
+    assert sorted(map(tuple, S.pivot_counts(df, "k", "l", ["x"], "rest").collect())) == [("a", 2, 2), ("b", 0, 1)]
+
+
+def test_distinct_counts_do_not_copy_the_rows(spark):
+    schema = "codigo string, brand string, source_file string, cycle int, categoria_normalizada string, linha string, promocao_ativa boolean, preco_regular double, desconto_calculado double"
+    df = spark.createDataFrame([("1", "b", "f", 1, "c", None, True, 2.0, None), ("2", "b", "f", 2, "c", None, False, 4.0, 10.0), (None, "b", "g", 2, "d", "l", None, 6.0, 20.0)], schema)
+    assert tuple(S.overview(df).first()) == (3, 2, 1, 2, 2, 2, 1, 1, 50.0, 4.0, 15.0)

@@ -20,21 +20,29 @@ def _rate(c: str) -> Column:
     return F.avg(F.col(c).cast("double"))
 
 
+def _distinct_counts(df: DataFrame, cols: dict[str, str]) -> dict[str, Column]:
+    """How many values each column has, as scalars. The rows are reduced to their distinct combinations
+    first, so that counting several columns does not copy every row for each."""
+    small = df.select(*cols.values()).distinct()
+    counts = small.agg(F.struct(*[F.countDistinct(c).alias(n) for n, c in cols.items()]).alias("s")).scalar()
+    return {n: counts[n].alias(n) for n in cols}
+
+
 def overview(df: DataFrame) -> DataFrame:
     """One row: totals, distinct counts, promotion rate and averages."""
-    return df.agg(
+    low = _distinct_counts(df, {"brands": "brand", "catalogs": "source_file", "cycles": "cycle",
+                                "categories": "categoria_normalizada", "product_lines": "linha"})
+    codes = _distinct_counts(df, {"unique_products": "codigo"})
+    base = df.agg(
         F.count(F.lit(1)).alias("total_products"),
-        F.countDistinct("codigo").alias("unique_products"),
-        F.countDistinct("brand").alias("brands"),
-        F.countDistinct("source_file").alias("catalogs"),
-        F.countDistinct("cycle").alias("cycles"),
-        F.countDistinct("categoria_normalizada").alias("categories"),
-        F.countDistinct("linha").alias("product_lines"),
         F.count_if("promocao_ativa").alias("products_with_promotion"),
         rounded(_rate("promocao_ativa") * 100).alias("promotion_rate"),
         rounded(F.avg("preco_regular")).alias("avg_regular_price"),
         rounded(F.avg("desconto_calculado")).alias("avg_discount"),
     )
+    return base.select(
+        "total_products", codes["unique_products"], *low.values(), "products_with_promotion", "promotion_rate",
+        "avg_regular_price", "avg_discount")
 
 
 def value_counts(df: DataFrame, key: str) -> DataFrame:
@@ -115,11 +123,13 @@ def box_stats(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     return out.select(*keys, *[rounded(F.col(c)).alias(c) for c in shown], "outliers")
 
 
-def pivot_counts(df: DataFrame, key: str, label: str, values: list[str]) -> DataFrame:
-    """Counts of each label as columns; a label without rows shows 0."""
-    return (
-        _keyed(df, [key]).groupBy(key).pivot(label, values).agg(F.count(F.lit(1))).fillna(0, values)
-    )
+def pivot_counts(df: DataFrame, key: str, label: str, values: list[str], rest: str | None = None) -> DataFrame:
+    """Counts of each label as columns; a label without rows shows 0. ``rest`` names a column for rows with
+    any other label or none."""
+    part = {v: F.count_if(F.col(label) == v) for v in values}
+    if rest:
+        part[rest] = F.count(F.lit(1)) - F.count_if(F.col(label).isin(values))
+    return _keyed(df, [key]).groupBy(key).agg(*[n.alias(v) for v, n in part.items()])
 
 
 def mean_by(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -199,8 +209,6 @@ def compare_brands(df: DataFrame, brands: list[str], key: str = "brand") -> Data
     """Ten measures in rows, one column per brand."""
     base = _keyed(df, [key]).groupBy(key).agg(
         F.count("codigo").alias("total_products"),
-        F.countDistinct("codigo").alias("unique_products"),
-        F.countDistinct("linha").alias("unique_lines"),
         F.avg("preco_regular").alias("avg_price"),
         F.max("preco_regular").alias("max_price"),
         _rate("promocao_ativa").alias("promo_rate"),
@@ -208,6 +216,9 @@ def compare_brands(df: DataFrame, brands: list[str], key: str = "brand") -> Data
         F.coalesce(money_sum(F.col("economia")), F.lit(0.0)).alias("total_savings"),
         F.avg("features_count").alias("avg_features"),
     )
+    for name, c in (("unique_products", "codigo"), ("unique_lines", "linha")):
+        each = _keyed(df, [key]).select(key, c).distinct().groupBy(key).agg(F.count(c).alias(name))
+        base = base.join(each, key)
     full = with_percentiles(base, df, [key], "preco_regular", {"median_price": 0.5})
     measures = [c for c in full.columns if c != key]
     return transpose(full.select(key, *[rounded(F.col(c)).alias(c) for c in measures]), key, brands)
@@ -227,11 +238,13 @@ def scaled_profile(df: DataFrame, divisors: dict[str, float], key: str = "brand"
     ])
 
 
-def crosstab_pct(df: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
-    """Percent of each row label per column label."""
-    counts = pivot_counts(df.dropna(subset=[row, col]), row, col, values)
-    total = sum((F.col(v) for v in values[1:]), F.col(values[0]))
-    return counts.select(row, *[rounded(F.col(v) / total * 100).alias(v) for v in values])
+def crosstab_pct(df: DataFrame, row: str, col: str, values: list[str], rest: str | None = None) -> DataFrame:
+    """Percent of all rows of each row label per column label; ``rest`` names a column for labels not listed."""
+    total = F.count(F.lit(1))
+    part = {v: F.count_if(F.col(col) == v) for v in values}
+    if rest:
+        part[rest] = F.count_if(~F.col(col).isin(values))
+    return df.dropna(subset=[row, col]).groupBy(row).agg(*[rounded(n / total * 100).alias(v) for v, n in part.items()])
 
 
 def tier_summary(df: DataFrame) -> DataFrame:
@@ -330,7 +343,7 @@ def mapping_counts(df: DataFrame, raw: str, norm: str) -> DataFrame:
 
 
 def mapping_totals(df: DataFrame, raw: str, norm: str) -> DataFrame:
-    return df.agg(
+    return df.select(raw, norm).distinct().agg(
         F.countDistinct(raw).alias("unique_raw"), F.countDistinct(norm).alias("unique_normalized")
     )
 
@@ -354,8 +367,6 @@ def key_findings(df: DataFrame) -> DataFrame:
     whole = F.col("codigo").isNotNull() & F.col("nome").isNotNull() & F.col("preco_regular").isNotNull()
     base = df.agg(
         F.count(F.lit(1)).alias("total_products"),
-        F.countDistinct("categoria_normalizada").alias("categories"),
-        F.countDistinct("linha").alias("product_lines"),
         rounded(F.avg("preco_regular")).alias("avg_price"),
         rounded(F.min("preco_regular")).alias("min_price"),
         rounded(F.max("preco_regular")).alias("max_price"),
@@ -367,9 +378,9 @@ def key_findings(df: DataFrame) -> DataFrame:
         rounded(_rate("has_errors") * 100).alias("error_rate"),
         rounded(F.avg(whole.cast("double")) * 100).alias("completeness"),
     )
-    return with_percentiles(base, df, [], "preco_regular", {"median_price": 0.5}).withColumn(
-        "median_price", rounded(F.col("median_price"))
-    )
+    low = _distinct_counts(df, {"categories": "categoria_normalizada", "product_lines": "linha"})
+    return with_percentiles(base, df, [], "preco_regular", {"median_price": 0.5}).withColumns(
+        {"median_price": rounded(F.col("median_price")), **low})
 
 
 def catalog_statistics(df: DataFrame, key: str = "source_file") -> DataFrame:
