@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from vitrine import constants as K
 from vitrine.functions.similarity import weighted_ratio
 from vitrine.functions.text import strip
+from vitrine.session import materialise
 
 DIM_SCHEMA = "pos long, kind string, term string, term_lc string, master string"
 PIECE = 256
@@ -112,12 +113,29 @@ def normalize_categories(
     return joined.withColumn(out, F.coalesce("_master", F.lit(K.UNMAPPED))).drop("_raw", "_master")
 
 
+def _numbered(rows: DataFrame, key: str, start: Column) -> DataFrame:
+    """``rows`` with ``pos``: their place in the order of ``key`` after ``start``.
+
+    Rows are dealt out by ranges of the key and counted within their range; only the ranges' sizes, a
+    row for each partition, are summed up in one place.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, key).sortWithinPartitions(key)
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = materialise(ranged.select("*", F.spark_partition_id().alias("_range"), within.alias("_at")), "terms")
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_range", before.alias("_before"))
+    return placed.join(F.broadcast(offsets), "_range").withColumn("pos", start + 1 + F.col("_before") + F.col("_at")).drop(
+        "_range", "_at", "_before")
+
+
 def add_categories(dim: DataFrame, new: DataFrame) -> DataFrame:
     """Add master categories (column ``master``) that are not there yet, in name order."""
     fresh = new.select("master").distinct().join(dim.where("kind = 'master'").select("master"), "master", "left_anti")
     next_pos = dim.agg(F.max("pos")).scalar()
-    return dim.unionByName(fresh.select(
-        (next_pos + F.row_number().over(W.orderBy("master"))).alias("pos"), F.lit("master").alias("kind"),
+    return dim.unionByName(_numbered(fresh, "master", next_pos).select(
+        F.col("pos").cast("long").alias("pos"), F.lit("master").alias("kind"),
         F.col("master").alias("term"), F.lower("master").alias("term_lc"), "master"))
 
 
@@ -131,8 +149,8 @@ def upsert_synonyms(dim: DataFrame, new: DataFrame) -> DataFrame:
         .groupBy("term_lc").agg(F.min(F.struct("term", "master")).alias("s"))
     )
     next_pos = dim.agg(F.max("pos")).scalar()
-    return dim.unionByName(fresh.select(
-        (next_pos + F.row_number().over(W.orderBy("term_lc"))).cast("long").alias("pos"),
+    return dim.unionByName(_numbered(fresh, "term_lc", next_pos).select(
+        F.col("pos").cast("long").alias("pos"),
         F.lit("synonym").alias("kind"), F.col("s.term").alias("term"), "term_lc", F.col("s.master").alias("master")))
 
 
