@@ -194,11 +194,28 @@ def v17b(spark, d):
         F.transform("alerts", lambda a: F.concat_ws(":", a["level"], a["field"])), "|").alias("alerts"))
 
 
-@query("v18_process_products")
+FIXED_ITEMS = f"""i2 AS (SELECT * REPLACE (
+    CASE WHEN COALESCE(q <> 0 AND q > r, FALSE) THEN q ELSE r END AS r, CASE WHEN COALESCE(q <> 0 AND q > r, FALSE) THEN r ELSE q END AS q,
+    CASE WHEN COALESCE(q <> 0, FALSE) AND r <> 0 AND NOT COALESCE(s <> 0, FALSE) THEN {rnd('abs(r - q)')} ELSE s END AS s,
+    promocao_ativa OR (COALESCE(q <> 0, FALSE) AND q < r) AS promocao_ativa, 'known' AS cn),
+    COALESCE(q <> 0 AND q > r, FALSE) AS swap FROM i),
+w AS ("""
+
+
+def on_processed(sql):
+    """The alert tables over corrected rows."""
+    fixed = ALERT_SQL.strip().replace("w AS (", FIXED_ITEMS, 1).replace("AS match FROM i)", "AS match FROM i2)", 1)
+    return on_products("WITH " + fixed + " " + sql)
+
+
+@query("v18_process_products", on_processed(f"""SELECT pagina, pos, CASE WHEN categoria LIKE 'zz%' THEN 'Outros' ELSE upper(substring(categoria, 1, 2)) END AS cat2,
+  r AS preco_regular, q AS preco_promocional, s AS economia, promocao_ativa,
+  NULLIF(concat_ws('|', CASE WHEN swap THEN 'warning:preco_regular:{K.ALERT_TEXTS["prices_swapped"]}' END, sig), '') AS alerts FROM rows_al"""))
 def v18(spark, d):
-    out = V.process_products(items(spark, d), derived_dim(spark, d))
-    return out.select(*ORDER, "categoria_normalizada", "preco_regular", "preco_promocional", "economia",
-                      "promocao_ativa", signature(F.col("alertas")).alias("alerts"))
+    out = V.process_products(items(spark, d), derived_dim(spark, d), scorer="levenshtein")
+    n = F.col("categoria_normalizada")
+    return out.select(*ORDER, F.when(n == K.UNMAPPED, n).otherwise(F.substring(n, 1, 2)).alias("cat2"), "preco_regular", "preco_promocional",
+                      "economia", "promocao_ativa", signature(F.col("alertas")).alias("alerts"))
 
 
 def flagged(spark, d):
