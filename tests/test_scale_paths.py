@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import baskets as B, quantiles as Q, stats as S, texts as T
+from vitrine.operators import baskets as B, clusters as CL, quantiles as Q, stats as S, texts as T
 from vitrine.sources import pages as PG
 
 
@@ -163,3 +163,17 @@ def test_distinct_counts_do_not_copy_the_rows(spark):
     schema = "codigo string, brand string, source_file string, cycle int, categoria_normalizada string, linha string, promocao_ativa boolean, preco_regular double, desconto_calculado double"
     df = spark.createDataFrame([("1", "b", "f", 1, "c", None, True, 2.0, None), ("2", "b", "f", 2, "c", None, False, 4.0, 10.0), (None, "b", "g", 2, "d", "l", None, 6.0, 20.0)], schema)
     assert tuple(S.overview(df).first()) == (3, 2, 1, 2, 2, 2, 1, 1, 50.0, 4.0, 15.0)
+
+
+def test_kmeans_assigns_the_nearest_centre(spark):
+    rng = random.Random(2)
+    rows = [(i, *(c * 50 + rng.random() for c in ((i % 4) & 1, (i % 4) >> 1, i % 4))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, preco_regular double, desconto_calculado double, volume_numeric double")
+    out = sorted(map(tuple, CL.kmeans(df, 4).select("id", *CL.FEATURES, "cluster").collect()))
+    x, cluster = np.array([r[1:4] for r in out]), np.array([r[4] for r in out])
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    centres = np.array([x[cluster == k].mean(axis=0) for k in range(4)])
+    assert np.array_equal(((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1), cluster)
+    cost = ((x - centres[cluster]) ** 2).sum()
+    sweep = {r["k"]: r["inertia"] for r in CL.kmeans_sweep(df, ks=[4], starts=3).collect()}
+    assert math.isclose(sweep[4], cost, rel_tol=1e-6)
