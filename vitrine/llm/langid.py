@@ -135,7 +135,8 @@ def identify(
         (declared if declared is not None else markup_language(whole)).alias(said),
         F.coalesce(whole.rlike(r"\p{L}"), F.lit(False)).alias(some),
     )
-    base = stored(base, "languages")
+    if text not in keep:  # whole texts are rather read twice than written once more
+        base = stored(base, "languages")
     span, e = range(len(names)), F.col(ll)
     norm = sum((F.exp(e[i]) for i in span), F.lit(0.0))
     share = [F.when(F.col(some), F.exp(e[i]) / norm).otherwise(0.0) for i in span]  # what the text alone says
@@ -146,7 +147,7 @@ def identify(
     every = by_suffix.agg(F.sum("sn").alias("n"), *(F.sum(f"s{i}").alias(f"g{i}") for i in span)).first()
     total = every.n or 0.0
     prior = [((every[f"g{i}"] or 0.0) + 1.0) / (total + len(names)) for i in span]
-    levels = by_host.join(by_suffix, "s").select("h", "hn", "sn", *(f"h{i}" for i in span), *(f"s{i}" for i in span))
+    levels = stored(by_host.join(by_suffix, "s").select("h", "hn", "sn", *(f"h{i}" for i in span), *(f"s{i}" for i in span)), "hosts")
     joined = base.join(levels, base[at].eqNullSafe(levels["h"]), "left")
 
     def smooth(i: int) -> Column:
