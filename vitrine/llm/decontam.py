@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import cols, fresh, small_batches, stored, utf8
+from vitrine.llm.common import small_batches, stored, utf8
 
 WINDOW, SHARE = 5, 0.8
 #: Window hashes of the benchmark that go to the tasks at once; a larger benchmark takes several rounds.
@@ -243,19 +243,24 @@ class Index:
         return partners <= 0.2 * len(both)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, row: str, text: str = "text", item: str = "item_id", item_text: str = "text", share: float = SHARE, size: int = WINDOW) -> DataFrame:
-    """``row, item_id, overlap`` for each item found in a document; ``row`` names a column of ``docs``."""
-    small_batches(docs.sparkSession)
+def _indexes(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, size: int) -> Iterator:
+    """The benchmark as broadcast indexes, each of a block of bounded size."""
     known = stored(benchmark.select(benchmark[f"`{item}`"].cast("long").alias("item_id"), benchmark[f"`{item_text}`"].alias("text")).dropna()
                    .withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(1 << 20))), "benchmark")
     size_of = known.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-int(size_of) // BLOCK_WORDS))
+    for block in range(blocks):
+        # one block of the benchmark reaches the driver and the tasks at a time
+        items = known.where(F.pmod("part", F.lit(blocks)) == block).select("item_id", "text").distinct().collect()
+        yield docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text.encode()) for r in sorted(items)], size))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, row: str, text: str = "text", item: str = "item_id", item_text: str = "text", share: float = SHARE, size: int = WINDOW) -> DataFrame:
+    """``row, item_id, overlap`` for each item found in a document; ``row`` names a column of ``docs``."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[row].dataType
     slim, out = docs.select(docs[f"`{row}`"].alias("row"), docs[f"`{text}`"].alias("text")), None
-    for block in range(blocks):
-        # one block of the benchmark, of bounded size, reaches the driver and the tasks at a time
-        items = known.where(F.pmod("part", F.lit(blocks)) == block).select("item_id", "text").collect()
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text.encode()) for r in sorted(items)], size))
+    for index in _indexes(docs, benchmark, item, item_text, size):
 
         def look(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -285,12 +290,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return found.select(F.col("row").alias(key), "item_id", F.round("overlap", 6).alias("overlap"), F.lit(True).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **more) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; columns stay as they are."""
-    (flag,) = fresh(docs, "leaks")
-
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", share: float = SHARE, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item; columns stay as they are. Each block of the
+    benchmark is one more filter over the documents: nothing is joined, shuffled or stored."""
     small_batches(docs.sparkSession)
-    row = fresh(docs, "row")[0]
-    whole = stored(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    leaks = stored(matches(whole, benchmark, row, text, **more).select(F.col("row").alias(flag)).distinct(), "leaks")
-    return whole.join(leaks, whole[row] == leaks[flag], "left_anti").select(*cols(whole, *docs.columns))
+
+    def without(index):
+        @F.arrow_udf("boolean")
+        def clean(column: pa.Array) -> pa.Array:
+            held = np.ones(len(column), bool)
+            held[[i for i, _, _ in index.value.found_in(list(utf8(column)), share)]] = False
+            return pa.array(held)
+
+        return clean
+
+    out = docs
+    for index in _indexes(docs, benchmark, item, item_text, size):
+        out = out.where(without(index)(out[f"`{text}`"]))
+    return out
