@@ -87,11 +87,13 @@ def mix(
     """
     made = dict(zip(("source", "lang", "topic", "tokens", "draw", "weight", "probability", "sampled"), fresh(docs, *(f"mix_{n}" for n in ("source", "lang", "topic", "tokens", "draw", "weight", "probability", "sampled")))))
     whole = text_or_empty(docs[f"`{text}`"])
-    table = stored(docs.select(
+    table = docs.select(
         *cols(docs, *keep), docs[f"`{source}`"].alias(made["source"]), docs[f"`{lang}`"].alias(made["lang"]),
         (docs[f"`{topic}`"] if topic else topic_of(whole)).alias(made["topic"]), word_count(whole).alias(made["tokens"]),
         draw(docs[f"`{key}`"], seed).alias(made["draw"]),
-    ), "mix")
+    )
+    if text not in keep:  # whole texts are rather read twice than written once more
+        table = stored(table, "mix")
     dims = ("source", "lang", "topic")
     cells = table.groupBy(*(table[made[d]].alias(d) for d in dims)).agg(F.sum(made["tokens"]).alias("tokens"))
     cells, wanted = stored(cells, "cells"), {}
