@@ -53,17 +53,20 @@ def _joined(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], weight: str = "tokens", sweeps: int = SWEEPS) -> DataFrame:
     """``cells`` with ``w``: weights with the target shares on each dimension.
 
-    ``targets`` holds a table ``<dimension>, share`` for each; a value without a target gets none.
-    Each step is a grouped sum and a join; a sweep over all dimensions is written before the next.
+    ``targets`` holds a table ``<dimension>, share`` for each; a value without a target gets none. The shares
+    are put beside the cells once; each step is then a grouped sum and a join, written before the next, so
+    that plans stay as small as in the first step.
     """
     now = cells.withColumn("w", F.col(weight).cast("double"))
+    for name, target in targets.items():
+        now = _joined(now, target.withColumnRenamed("share", f"share_{name}"), [name])
+    now = stored(now, "cells")
     for _ in range(sweeps):
-        for name, target in targets.items():
+        for name in targets:
             sums = now.groupBy(name).agg(F.sum("w").alias("total"))
-            factor = _joined(sums, target, [name]).select(name, F.when(F.col("total") > 0, F.col("share") / F.col("total")).otherwise(0.0).alias("factor"))
-            now = _joined(now, factor, [name]).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
-        now = stored(now, "cells")
-    return now
+            scaled = F.when(F.col("total") > 0, F.col("w") * F.col(f"share_{name}") / F.col("total")).otherwise(0.0)
+            now = stored(_joined(now, sums, [name]).withColumn("w", scaled).drop("total"), "cells")
+    return now.drop(*(f"share_{name}" for name in targets))
 
 
 def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
