@@ -59,3 +59,16 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
 
 def text_or_empty(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
+
+
+def at_least(counted: DataFrame, count: Column, rows: int) -> int:
+    """The smallest count, on a scale of sixteenths of a doubling, that at most ``rows`` rows of ``counted`` reach."""
+    level = F.floor(F.log2(count) * 16)
+    bins = counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min(count).alias("least"))
+    held, least = 0, 1 << 62
+    for r in sorted(bins.collect(), key=lambda r: -r["level"]):  # a thousand rows at most
+        held += r["n"]
+        if held > rows:
+            break
+        least = r["least"]
+    return least

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import chat, decontam, langid, mixing, pii, quality, simhash, tokens, topk, urls
+from vitrine.llm import align, chat, decontam, fim, langid, mixing, pii, quality, simhash, tokens, topk, urls
 from vitrine.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from vitrine.plans.registry import table
 
@@ -84,3 +84,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_chat_format")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.parse(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path_a, path_b = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.align(table(spark, sf_dir, "documents"), path_a, path_b)
+
+
+@query("op13_fill_in_middle")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents"), rate=50, spm_rate=80, seed=42))
