@@ -111,13 +111,16 @@ def test_lockstep(lane):
     assert align.lockstep([], []) == []
 
 
-def test_remembered_pieces_are_bounded(monkeypatch, libraries):
-    monkeypatch.setattr(align, "CACHE_ROWS", 30)
-    t = align.Tokens(align.PIECE_A, align.byte_level(A).whole, align.byte_level(A).names, 0)
-    for i in range(40):
-        text = f" w{i}x y{i} the " + "long" * 40
-        assert t.encode([text], [True])[0].tolist() == libraries[0].encode(text, add_special_tokens=False).ids
-        assert len(t.known) <= 30
+def test_ranks_are_taken_and_agree(libraries):
+    rng = random.Random(9)
+    chars = [chr(c) for c in [*range(0x20, 0x7F), *range(0xA1, 0x17F), 9, 10, 13, 32, 32, 39]]
+    texts = [" " + "".join(rng.choices(chars, k=rng.randint(0, 60))) for _ in range(2000)] + [" it's 'll  \n\n x\t\t", " \u00a0x", " ŉ"]
+    got = align.byte_level(A).whole(texts)
+    assert [list(x) for x in got] == [e.ids for e in libraries[0].encode_batch(texts, add_special_tokens=False)]
+    assert align.PLAIN.fullmatch(texts[0]) and not align.PLAIN.fullmatch(" 漢")
+    letters, names = align._byte_letters(), align.byte_level(A).names
+    assert align._by_ranks(A, {n: i for i, n in enumerate(names) if i != 50256}) is not None and len(letters) == 256
+    assert align._by_ranks(A, {n: i + 1 for i, n in enumerate(names)}) is None
 
 
 def test_odd_tables(spark, libraries):

@@ -11,17 +11,14 @@ Tokens are made once and never leave their task; what is stored is each text's d
 with how often they occur. Pair totals come from one grouped aggregation. They go back to the texts in two
 tiers: the most frequent pairs, whose number is a parameter, are broadcast; the rest meet their texts in a
 join, where no pair is frequent any more.
-
-Texts of the characters in ``PLAIN`` are cut into pieces that no token of the file can cross, and a worker
-remembers the ids of a piece as the library gave them. Other texts go to the library whole. The memory
-decides on speed only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -34,14 +31,10 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import at_least, small_batches, stored, utf8
 
-#: Characters for which the cuts below are known to agree with the libraries.
+#: Characters for which the splitter below is known to agree in both libraries.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-įı-ňŊ-ž]*+")
-#: Fixed: the splitter of the vocabulary file of A.
-PIECE_A = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: No token of B holds a space after another character, so none crosses the start of a run of spaces.
-PIECE_B = regex.compile(r" *[^ ]+| +")
-#: Pieces a worker remembers for each tokenizer before it starts afresh; no piece over this length is remembered.
-CACHE_ROWS, CACHE_CHARS = 150_000, 64
+#: Fixed: the splitter of a byte-level vocabulary file.
+PIECE_A = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text in a lane, and bytes of text worked on at a time.
 LANE, SLICE = 1_024, 1 << 20
 #: Pairs that are broadcast.
@@ -49,42 +42,16 @@ FREQUENT = 1 << 16
 
 
 class Tokens:
-    """Ids and byte lengths of one tokenizer's tokens, with remembered pieces. ``lead`` spaces before a text
-    are put there by the library itself."""
+    """One tokenizer: the bytes and byte length of each token, and ``encode`` of texts that begin with a space."""
 
-    def __init__(self, pieces: regex.Pattern, whole, names: list[bytes], lead: int) -> None:
-        self.pieces, self.whole, self.names, self.lead = pieces, whole, names, lead
+    def __init__(self, names: list[bytes], whole: Callable[[list[str]], list]) -> None:
+        self.names, self.whole = names, whole
         self.lengths = np.array([len(n) for n in names], np.int64)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _ids(self, texts: list[str]) -> list[list[int] | None]:
-        """Ids of each text, which begins with a space; none where its tokens' bytes are not its own."""
-        found = self.whole([t[self.lead :] for t in texts])
-        return [ids if b"".join(map(self.names.__getitem__, ids)) == t.encode() else None for t, ids in zip(texts, found, strict=True)]
-
-    def encode(self, texts: list[str], plain: list[bool]) -> list[np.ndarray | None]:
-        """Ids of the texts, each with a space before it."""
-        cut = [self.pieces.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        need = {p for own in cut if own for p in own}
-        if len(self.known) + len(need) > CACHE_ROWS:
-            self.known = {}
-        new = [p for p in need if p not in self.known]
-        now = dict(zip(new, self._ids(new), strict=True))
-        self.known.update((p, tuple(i)) for p, i in now.items() if i is not None and len(p) <= CACHE_CHARS)
-        local = {p: tuple(i) for p, i in now.items() if i is not None and len(p) > CACHE_CHARS}
-        out: list[np.ndarray | None] = []
-        for t, own in zip(texts, cut, strict=True):
-            got = None
-            if own:
-                got = [self.known.get(p) or local.get(p) for p in own] if local else list(map(self.known.get, own))
-                got = None if None in got else np.fromiter(chain.from_iterable(got), np.int64)
-                if got is not None and self.lengths[got].sum() != len(t.encode()):
-                    got = None
-            if got is None:
-                ids = self._ids([t])[0]
-                got = None if ids is None else np.array(ids, np.int64)
-            out.append(got)
-        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text; none where the tokens' bytes are not the text's own."""
+        own = lambda ids, t: b"".join(map(self.names.__getitem__, ids)) == t.encode()
+        return [np.array(ids, np.int64) if own(ids, t) else None for ids, t in zip(self.whole(texts), texts, strict=True)]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -97,7 +64,11 @@ def _byte_letters() -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def byte_level(path: str) -> Tokens:
-    """Tokenizer A: a byte-level vocabulary file."""
+    """Tokenizer A: a byte-level vocabulary file.
+
+    Where each merge makes the next id, ids are merge ranks, and texts in ``PLAIN`` go to the faster library
+    for ranks, which gives the same ids; the file's own library takes all others.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -109,8 +80,32 @@ def byte_level(path: str) -> Tokens:
     names = [b""] * tokenizer.get_vocab_size()
     for entry, i in tokenizer.get_vocab().items():
         names[i] = special[i].encode() if i in special else bytes(map(letter.__getitem__, entry))
-    whole = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    return Tokens(PIECE_A, whole, names, 0)
+    own = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ranked = _by_ranks(path, {n: i for i, n in enumerate(names) if i not in special})
+    if ranked is None:
+        return Tokens(names, own)
+
+    def whole(texts: list[str]) -> list:
+        plain = [bool(PLAIN.fullmatch(t)) for t in texts]
+        rest = iter(own([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [ranked(t) if p else next(rest) for t, p in zip(texts, plain, strict=True)]
+
+    return Tokens(names, whole)
+
+
+def _by_ranks(path: str, ranks: dict[bytes, int]) -> Callable[[str], list[int]] | None:
+    """An encoder by ranks, if the file's merges are in the order of its ids and its splitter is the known one."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    letter = _byte_letters()
+    merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
+    made = [ranks.get(bytes(map(letter.__getitem__, "".join(m)))) for m in merges]
+    cut = file.get("pre_tokenizer") or {}
+    if made != list(range(256, 256 + len(made))) or file.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("use_regex") is False:
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=PIECE_A, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @lru_cache(maxsize=4)
@@ -126,9 +121,7 @@ def sentence_pieces(path: str) -> Tokens:
             names.append(bytes([int(piece[3:5], 16)]))
         else:
             names.append(b"" if model.is_control(i) or model.is_unknown(i) else piece.replace("▁", " ").encode())
-        if "▁" in piece.lstrip("▁"):
-            raise ValueError(f"the piece {piece!r} holds a space inside; pieces can't be cut at spaces")
-    return Tokens(PIECE_B, lambda texts: model.encode(texts, num_threads=1), names, 1)
+    return Tokens(names, lambda texts: model.encode([t[1:] for t in texts], num_threads=1))
 
 
 def lockstep(a: list[np.ndarray], b: list[np.ndarray], lane: int = LANE) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -201,8 +194,7 @@ def aligned(texts: list[str], a: Tokens, b: Tokens) -> list[tuple[np.ndarray, np
     """For each text the ids of A and of B and the places of the last token of each group in either; none
     for a text without tokens."""
     spaced = [f" {t}" for t in texts]
-    plain = [bool(PLAIN.fullmatch(t)) for t in texts]
-    ids_a, ids_b = a.encode(spaced, plain), b.encode(spaced, plain)
+    ids_a, ids_b = a.encode(spaced), b.encode(spaced)
     held = [i for i, t in enumerate(texts) if t and ids_a[i] is not None and ids_b[i] is not None]
     places = lockstep([np.cumsum(a.lengths[ids_a[i]]) for i in held], [np.cumsum(b.lengths[ids_b[i]]) for i in held])
     out: list = [None] * len(texts)
