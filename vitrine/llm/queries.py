@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitrine.llm import align, chat, decontam, fim, langid, mixing, pii, quality, simhash, tokens, topk, urls
+from vitrine.llm import align, chat, decontam, fim, langid, mixing, pii, ppm, quality, simhash, tokens, topk, urls
 from vitrine.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from vitrine.plans.registry import table
 
@@ -86,6 +87,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.parse(table(spark, sf_dir, "conversations"))
 
 
+@query("op11_lm_score")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    train = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 10 != 0
+    out = ppm.score(docs, train)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), *(c for c in out.columns if c not in ("doc_id", "train")))
+
+
 @query("op12_tokenizer_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
