@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import baskets as B, clusters as CL, quantiles as Q, stats as S, texts as T
+from vitrine.operators import baskets as B, clusters as CL, itemsets as I, quantiles as Q, stats as S, texts as T
 from vitrine.sources import pages as PG
 
 
@@ -126,10 +126,53 @@ def test_items_without_terms_still_have_partners(spark):
 
 def test_itemset_support_is_a_share_of_all_groups(spark):
     rows = [(g, i) for g in range(2) for i in "AB"] + [(2, "A"), (3, "B")] + [(g, f"rare{g}") for g in range(4, 10)]
-    found = B.frequent_itemsets(spark.createDataFrame(rows, "g int, i string"), ["g"], "i", 0.3).collect()
+    found = I.frequent_itemsets(spark.createDataFrame(rows, "g int, i string"), ["g"], "i", 0.3).collect()
     assert sorted((r["items"], r["count"]) for r in found) == [(["A"], 3), (["B"], 3)]
 
 
+def test_sets_on_the_bar_are_kept(spark):
+    # 35 groups, 25 of them with a frequent item, one item in exactly a fifth of all
+    rows = [(g, "f") for g in range(25)] + [(g, "g") for g in range(7)] + [(g, f"rare{g}") for g in range(25, 35)]
+    found = I.frequent_itemsets(spark.createDataFrame(rows, "g int, i string"), ["g"], "i", 0.2).collect()
+    assert sorted((r["items"], r["count"]) for r in found) == [(["f"], 25), (["f", "g"], 7), (["g"], 7)]
+    assert [I.support_bar(n, s) for n, s in ((35, 0.2), (10, 0.3), (3, 0.5), (0, 0.5), (7, 0.0), (10, 1.0))] == [7, 3, 2, 1, 1, 10]
+
+
+@pytest.mark.parametrize("words", [64, 1])
+def test_itemsets_and_rules_against_plain_counts(spark, monkeypatch, words):
+    # one word a block: many blocks, some of them overflowing
+    monkeypatch.setattr(I, "WORDS", words)
+    monkeypatch.setattr(I, "BLOCK", words * 64)
+    rng = random.Random(21)
+    rows = []
+    for g in range(900):
+        own = {i for i, p in zip("abcdefgh", (0.9, 0.85, 0.8, 0.7, 0.6, 0.2, 0.05, 0.01)) if rng.random() < p}
+        rows += [(g % 3, g, i) for i in own] * rng.choice([1, 2])
+    rows += [(None, 5, "a"), (1, None, "a"), (1, 5000, None)]
+    groups = {}
+    for s, g, i in rows:
+        if None not in (s, g, i):
+            groups.setdefault((s, g), set()).add(i)
+    counts = Counter(c for own in groups.values() for k in range(1, 9) for c in combinations(sorted(own), k))
+    want = {c: n for c, n in counts.items() if n / len(groups) >= 0.1}
+    df = spark.createDataFrame(rows, "s int, g int, i string")
+    got = {tuple(r["items"]): r["count"] for r in I.frequent_itemsets(df, ["s", "g"], "i", 0.1).collect()}
+    assert got == want and max(map(len, got)) >= 5
+    assert {tuple(r["items"]) for r in I.frequent_itemsets(df, ["s", "g"], "i", 0.1, 2).collect()} == {c for c in want if len(c) <= 2}
+    rules = {(tuple(r["antecedent"]), tuple(r["consequent"])): (r["count"], r["confidence"], r["lift"]) for r in I.itemset_rules(df, ["s", "g"], "i", 0.1, 0.6).collect()}
+    plain = {}
+    for c, n in want.items():
+        for k in range(1, min(3, len(c) - 1) + 1) if len(c) <= 4 else ():
+            for a in combinations(c, k):
+                b = tuple(x for x in c if x not in a)
+                if n / want[a] >= 0.6:
+                    plain[a, b] = (n, n / want[a], n / want[a] / (want[b] / len(groups)))
+    assert rules.keys() == plain.keys() and all(np.allclose(rules[k], plain[k], atol=6e-5) for k in plain)
+    assert max(len(a) for a, _ in rules) == 3
+    none = spark.createDataFrame([], "s int, g int, i string")
+    assert I.frequent_itemsets(none, ["s", "g"], "i", 0.1).count() == 0 == I.itemset_rules(none, ["s", "g"], "i", 0.1, 0.6).count()
+
+
 def test_combo_members_without_a_price(spark):
     rows = [(1, "a", 10.0, "none", []), (2, "x", 6.0, "combo", ["a", "b"]), (3, "y", 5.0, "combo", ["a"]), (4, "z", 5.0, "combo", ["b"])]
     df = spark.createDataFrame(rows, "pos int, codigo string, preco_regular double, promo_type string, combo_codes array<string>").withColumns(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.functions.numbers import rounded
@@ -149,17 +148,3 @@ def association_rules(
     return rules.join(left, "antecedent").join(right, "consequent").where(confidence >= min_confidence).select(
         "antecedent", "consequent", "count", rounded(F.col("count") / n, 4).alias("support"),
         rounded(confidence, 4).alias("confidence"), rounded(confidence / (F.col("_nb") / n), 4).alias("lift"))
-
-
-def frequent_itemsets(df: DataFrame, group: list[str], item: str, min_support: float) -> DataFrame:
-    """Item sets of any size that reach the support; an array holds frequent items only."""
-    members, _, n = _frequent(df, group, item, min_support)
-    arrays = members.groupBy(*group).agg(F.collect_list("_item").alias("items"))
-    # groups without a frequent item count as well: the share is that of all groups
-    some = arrays.count()
-    if not some:
-        return arrays.select("items", F.lit(0).cast("long").alias("count"))
-    total = members.sparkSession.range(1).select(n.alias("n")).first()["n"]
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * total / some)).fit(arrays).freqItemsets
-    found = found.where(F.col("freq") / total >= min_support)
-    return found.select(F.sort_array("items").alias("items"), F.col("freq").alias("count"))

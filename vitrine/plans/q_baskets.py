@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine import constants as K
-from vitrine.operators import baskets as B, clusters as CL
+from vitrine.operators import baskets as B, clusters as CL, itemsets as I
 from vitrine.plans.products import on_features, on_products, products, featured
 from vitrine.plans.registry import query, rnd, table
 
@@ -96,10 +96,34 @@ def d18(spark, d):
 SELECT k AS items, nk AS count FROM c, n WHERE nk / n.n >= 0.004 UNION ALL SELECT a || ';' || b, count FROM q, n WHERE a < b AND count / n.n >= 0.004
 UNION ALL SELECT a || ';' || b || ';' || e, count FROM r, n WHERE count / n.n >= 0.004"""))
 def d18b(spark, d):
-    out = B.frequent_itemsets(products(spark, d), ["pagina"], "linha", 0.004)
+    out = I.frequent_itemsets(products(spark, d), ["pagina"], "linha", 0.004, 3)
     return out.select(F.array_join("items", ";").alias("items"), "count")
 
 
+FOURS = f"""{RULES}, r AS (SELECT a.pagina, a.k AS a, b.k AS b, e.k AS e FROM m a JOIN m b ON a.pagina = b.pagina AND a.k < b.k JOIN m e ON e.pagina = b.pagina AND b.k < e.k),
+i AS (SELECT [k] AS items, nk AS count FROM c UNION ALL SELECT [a, b], count FROM q WHERE a < b
+  UNION ALL SELECT [a, b, e], COUNT(*) FROM r GROUP BY 1
+  UNION ALL SELECT [a, b, e, k], COUNT(*) FROM r JOIN m ON m.pagina = r.pagina AND e < k GROUP BY 1),
+o AS (SELECT items, count FROM i, n WHERE count / n.n >= {{0}})"""
+
+
+@query("d18_itemsets_of_four", on_products(f"WITH {FOURS.format(0.0004)} SELECT array_to_string(items, ';') AS items, len(items) AS size, count FROM o"))
+def d18c(spark, d):
+    out = I.frequent_itemsets(products(spark, d), ["pagina"], "linha", 0.0004, 4)
+    return out.select(F.array_join("items", ";").alias("items"), F.size("items").cast("long").alias("size"), "count")
+
+
+@query("d18_itemset_rules", on_products(f"""WITH {FOURS.format(0.0004)},
+s AS (SELECT items, count, unnest(range(1, CAST(2 ** len(items) AS BIGINT) - 1)) AS mask FROM o WHERE len(items) > 1),
+t AS (SELECT count, list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS antecedent, list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 0) AS consequent FROM s)
+SELECT array_to_string(antecedent, ';') AS antecedent, array_to_string(consequent, ';') AS consequent, t.count, {rnd('t.count / n.n', 4)} AS support,
+  {rnd('t.count / x.count', 4)} AS confidence, {rnd('(t.count / x.count) / (y.count / n.n)', 4)} AS lift
+FROM t JOIN o x ON x.items = antecedent JOIN o y ON y.items = consequent, n WHERE len(antecedent) <= 3 AND t.count / x.count >= 0.1"""))
+def d18d(spark, d):
+    out = I.itemset_rules(products(spark, d), ["pagina"], "linha", 0.0004, 0.1)
+    return out.withColumns({c: F.array_join(c, ";") for c in ("antecedent", "consequent")})
+
+
 @query("j07_rows_on_page", on_products("""SELECT pagina, pos, codigo FROM p WHERE codigo IN (SELECT DISTINCT lpad(CAST(l_partkey AS VARCHAR), 5, '0')
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')"""))
 def j07(spark, d):
