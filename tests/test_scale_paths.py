@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import baskets as B, clusters as CL, itemsets as I, quantiles as Q, stats as S, texts as T
+from vitrine.operators import baskets as B, clusters as CL, itemsets as I, quantiles as Q, similar as SI, stats as S, texts as T
 from vitrine.sources import pages as PG
 
 
@@ -63,26 +63,51 @@ def brute_similarities(spark, df, rows):
 
 @pytest.mark.parametrize("block", [2048, 20])
 def test_similar_items_are_exact(spark, monkeypatch, block):
-    monkeypatch.setattr(T, "BLOCK", block)
+    monkeypatch.setattr(SI, "BLOCK", block)
     rows = corpus(150)
     df = spark.createDataFrame(rows, "id long, t string")
     sims = brute_similarities(spark, df, rows)
     got = {}
-    for r in T.similar_items(df, "id", "t", 4).collect():
+    for r in SI.similar_items(df, "id", "t", 4).collect():
         got.setdefault(r["id"], {})[r["rank"]] = r["similarity"]
     for i, _ in rows:
         want = sorted((s for (a, _), s in sims.items() if a == i), reverse=True)[:4]
         assert np.allclose([got[i][k] for k in sorted(got[i])], want, atol=2e-6), i
 
 
+def test_blocks_that_cannot_win_stay_closed(spark, monkeypatch):
+    # four vocabularies: a text's partners are in its own, and most blocks hold none of its terms
+    monkeypatch.setattr(SI, "BLOCK", 20)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"v{i % 4}w{rng.randint(0, 25)}" for _ in range(8))) for i in range(400)]
+    own, _ = T.vectors(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    groups, _ = SI._distinct(own, "id", [])
+    dealt, blocks = SI.blocks_of_alike(groups, 1.0, [])
+    assert dealt.groupBy("block").count().agg(F.max("count")).first()[0] <= 60
+    opened = SI.opened(dealt, blocks, 5, 1.0, []).where("other IS NOT NULL").count()
+    assert 0 < opened < 0.6 * groups.count() * (blocks - 1)
+
+
+def test_postings_are_those_that_can_reach_the_bar(spark):
+    rows = [(1, "a0 b0 c0 d0"), (2, "a0 b0 c0 d0 e0"), (3, "e0 e0 e0 e0 a0")]
+    own, terms = T.vectors(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    groups, _ = SI._distinct(own, "id", [])
+    for r in SI.postings(groups, 0.9).collect():
+        rest = math.sqrt(sum(w * w for c, w in zip(r["codes"], r["weights"]) if c >= r["term"]))
+        assert rest >= 0.9 and abs(rest - r["rest"]) < 1e-9
+    assert SI.postings(groups, 0.9).count() < SI.postings(groups, 0.1).count() <= 11
+    with pytest.raises(ValueError):
+        SI.cosine_pairs(spark.createDataFrame(rows, "id long, t string"), "id", "t", 0.0)
+
+
 @pytest.mark.parametrize("block", [2048, 20])
 def test_cosine_pairs_are_complete(spark, monkeypatch, block):
-    monkeypatch.setattr(T, "BLOCK", block)
+    monkeypatch.setattr(SI, "BLOCK", block)
     rows = corpus(120)
     df = spark.createDataFrame(rows, "id long, t string")
     sims = brute_similarities(spark, df, rows)
-    for bar in (0.25, 0.8):
-        found = T.cosine_pairs(df, "id", "t", bar).collect()
+    for bar in (0.25, 0.3, 0.8, 0.9):
+        found = SI.cosine_pairs(df, "id", "t", bar).collect()
         first = {}
         for i, t in rows:
             first.setdefault(" ".join(sorted(t.split())), i)
@@ -119,7 +144,7 @@ def test_association_rules_by_hand(spark):
 
 def test_items_without_terms_still_have_partners(spark):
     rows = [(1, "abc abc"), (2, None), (3, "zz zz"), (4, ""), (5, "abc")]
-    out = T.similar_items(spark.createDataFrame(rows, "id long, t string"), "id", "t", 3, max_features=1).collect()
+    out = SI.similar_items(spark.createDataFrame(rows, "id long, t string"), "id", "t", 3, max_features=1).collect()
     assert len(out) == 15
     assert [(r["similar_id"], r["similarity"]) for r in sorted(out, key=lambda r: r["rank"]) if r["id"] == 5] == [(1, 1.0), (2, 0.0), (3, 0.0)]
 
@@ -187,7 +212,7 @@ def test_nearest_items_are_exact(spark):
     df = spark.createDataFrame(rows, "id long, t string, c string, l string")
     sims = brute_similarities(spark, df, [(r[0], r[1]) for r in rows])
     got = {}
-    for r in T.nearest_items(df, "id", "t", {"c": 0.3, "l": 0.2}, 0.5, 4).collect():
+    for r in SI.nearest_items(df, "id", "t", {"c": 0.3, "l": 0.2}, 0.5, 4).collect():
         got.setdefault(r["id"], {})[r["rank"]] = r["similarity"]
     for i, _, c, l in rows:
         score = lambda o: 0.5 * sims[i, o[0]] + 0.3 * (c == o[2]) + 0.2 * (l is not None and l == o[3])

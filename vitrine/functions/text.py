@@ -16,6 +16,8 @@ BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u202f\u205f\u3000"
     chr(c) for c in range(0x2000, 0x200B))
 # Fixed value: a token is two or more letters, digits or underscores.
 TOKEN_PATTERN = r"([\p{L}\p{N}_]{2,})"
+#: What lies between tokens.
+NOT_TOKEN = r"[^\p{L}\p{N}_]+"
 
 
 def strip(c: Column) -> Column:

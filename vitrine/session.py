@@ -57,3 +57,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_run_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its scan has fewer tasks than there are cores, as a table of a few row
+    groups has; a larger table is left as it is, so no more than a row group for each core is ever moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
