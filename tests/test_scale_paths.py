@@ -243,5 +243,45 @@ def test_kmeans_assigns_the_nearest_centre(spark):
     centres = np.array([x[cluster == k].mean(axis=0) for k in range(4)])
     assert np.array_equal(((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1), cluster)
     cost = ((x - centres[cluster]) ** 2).sum()
-    sweep = {r["k"]: r["inertia"] for r in CL.kmeans_sweep(df, ks=[4], starts=3).collect()}
+    sweep = {r["k"]: r["inertia"] for r in CL.kmeans_sweep(df, ks=[4], starts=10).collect()}
     assert math.isclose(sweep[4], cost, rel_tol=1e-6)
+
+
+def plain_silhouette(x, label, squared):
+    far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    far = far if squared else np.sqrt(far)
+    out = []
+    for i, c in enumerate(label):
+        if (label == c).sum() == 1:
+            out.append(0.0)
+            continue
+        a = far[i, label == c].sum() / ((label == c).sum() - 1)
+        b = min(far[i, label == d].mean() for d in set(label) - {c})
+        out.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return float(np.mean(out))
+
+
+@pytest.mark.parametrize("cells", [(2048, 131072), (150, 400)])
+def test_silhouettes_equal_all_pairs(spark, monkeypatch, cells):
+    monkeypatch.setattr(CL, "ROW", cells[0])
+    monkeypatch.setattr(CL, "COLUMN", cells[1])
+    rng = random.Random(4)
+    rows = [(rng.choice([10.0, 40.0, 90.0]) + rng.randint(0, 30), float(rng.randint(0, 9)), float(rng.choice([50, 100]))) for _ in range(2000)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, preco_regular double, desconto_calculado double, volume_numeric double")
+    squared = {r["k"]: r for r in CL.kmeans_sweep(df, ks=[2, 4], starts=3, rounds=6).collect()}
+    plain = {r["k"]: r for r in CL.silhouette_sweep(df, ks=[2, 4], starts=3, rounds=6).collect()}
+    x = np.array(rows)
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    for k in (2, 4):
+        label = np.array([r["cluster"] for r in CL.kmeans(df, k, 3, rounds=6).orderBy("id").collect()])
+        # with one start the sweep draws the same points as a single k only if k is the largest
+        if k == 4:
+            assert math.isclose(squared[k]["silhouette_squared"], plain_silhouette(x, label, True), abs_tol=1e-6)
+            assert math.isclose(plain[k]["silhouette"], plain_silhouette(x, label, False), abs_tol=1e-6)
+    assert sum(r["best"] for r in plain.values()) == 1 and plain[2]["inertia"] == pytest.approx(squared[2]["inertia"])
+
+
+def test_kmeans_on_too_few_points(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0)] * 3, "preco_regular double, desconto_calculado double, volume_numeric double")
+    assert [r["cluster"] for r in CL.kmeans(df, 4).collect()] == [None] * 3
+    assert CL.kmeans_sweep(df).count() == 0 == CL.silhouette_sweep(df.limit(0)).count()

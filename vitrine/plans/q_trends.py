@@ -65,11 +65,45 @@ def d12(spark, d):
     return TR.missing_corr(products(spark, d), MISS)
 
 
-@query("d14_clusters_imputed")
+def kmeans_sql(ks, starts, rounds, source="f", cols=CL.FEATURES):
+    """The rounds of k-means, one after the other: pt (distinct points), last (k, s, cluster, centre), cost, won."""
+    most, xyz = max(ks), ", ".join(f"x{i}" for i in range(len(cols)))
+    scaled = ", ".join(f"({c} - (SELECT AVG({c}) FROM r)) / (SELECT CASE WHEN STDDEV_POP({c}) = 0 THEN 1 ELSE STDDEV_POP({c}) END FROM r) AS x{i}" for i, c in enumerate(cols))
+    code = ", ".join(f"CAST(floor({c} * 10000 + 0.5) AS BIGINT)" for c in cols)
+    far = " + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(len(cols)))
+    out = f"""r AS (SELECT * FROM {source} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)}),
+pt AS MATERIALIZED (SELECT row_number() OVER () AS i, * FROM (SELECT {scaled}, n, h FROM (SELECT {', '.join(cols)}, COUNT(*) AS n, md5(concat_ws(',', '42', {code})) AS h FROM r GROUP BY ALL))),
+dr AS (SELECT *, row_number() OVER (ORDER BY h, {xyz}) - 1 AS d FROM pt QUALIFY d < {most * starts}),
+c0 AS MATERIALIZED (SELECT k, d // {most} AS s, d % {most} AS cluster, {xyz} FROM dr, (SELECT unnest({list(ks)}) AS k) WHERE d % {most} < k)"""
+    for n in range(rounds + 1):
+        out += f""",
+a{n} AS MATERIALIZED (SELECT i, k, s, list_position(f, list_min(f)) - 1 AS cluster, list_min(f) AS far FROM (SELECT p.i, k, s, list_transform(l, lambda c: {far}) AS f
+  FROM pt p, (SELECT k, s, list({{{', '.join(f"'x{i}': x{i}" for i in range(len(cols)))}}} ORDER BY cluster) AS l FROM c{n} GROUP BY 1, 2)))"""
+        if n < rounds:
+            out += f""",
+c{n + 1} AS MATERIALIZED (SELECT k, s, cluster, {', '.join(f'COALESCE(g.x{i}, c.x{i}) AS x{i}' for i in range(len(cols)))} FROM c{n} c
+  LEFT JOIN (SELECT k, s, cluster, {', '.join(f'SUM(n * x{i}) / SUM(n) AS x{i}' for i in range(len(cols)))} FROM a{n} JOIN pt USING (i) GROUP BY 1, 2, 3) g USING (k, s, cluster))"""
+    return out + f""",
+cost AS (SELECT k, s, SUM(n * far) AS cost FROM a{rounds} JOIN pt USING (i) GROUP BY 1, 2),
+won AS (SELECT k, MIN(s) AS s, MIN(cost) AS cost FROM cost JOIN (SELECT k, MIN(cost) AS least FROM cost GROUP BY 1) USING (k) WHERE cost <= least * (1 + 1e-9) GROUP BY 1)"""
+
+
+ONE = dict(starts=10, rounds=CL.ROUNDS)
+LABELLED = f"""fin AS (SELECT k, s, cluster, x0, x1, x2 FROM c{CL.ROUNDS} JOIN won USING (k, s)),
+m AS (SELECT {', '.join(f'AVG({c}) AS m{i}, CASE WHEN STDDEV_POP({c}) = 0 THEN 1 ELSE STDDEV_POP({c}) END AS d{i}' for i, c in enumerate(CL.FEATURES))} FROM r),
+lab AS (SELECT pagina, pos, {', '.join(CL.FEATURES)}, CAST(arg_min(cluster, (far, cluster)) AS INTEGER) AS cluster FROM (SELECT r.*, fin.cluster AS cluster, {' + '.join(
+    f'(({c} - m{i}) / d{i} - x{i}) ** 2' for i, c in enumerate(CL.FEATURES))} AS far FROM r, m, fin) GROUP BY ALL)"""
+
+
+@query("d14_clusters_imputed", on_features(f"""WITH fi AS (SELECT * REPLACE (CASE WHEN preco_regular > 0
+    THEN (preco_regular - COALESCE(preco_promocional, preco_regular)) / preco_regular * 100 ELSE desconto_percentual END AS desconto_calculado) FROM f),
+{kmeans_sql([4], **ONE, source='fi')}, {LABELLED},
+g AS (SELECT cluster, COUNT(preco_regular) AS count, {rnd('AVG(preco_regular)')} AS avg_price, {rnd('AVG(desconto_calculado)')} AS avg_discount, {rnd('AVG(volume_numeric)')} AS avg_volume FROM lab GROUP BY 1)
+SELECT *, CASE WHEN avg_price < 50 THEN 'Budget' WHEN avg_price < 100 THEN 'Economy' WHEN avg_price < 200 THEN 'Premium' ELSE 'Luxury' END AS cluster_name FROM g"""))
 def d14(spark, d):
     f = CL.impute_promo(featured(spark, d)).withColumn("desconto_calculado", effective_discount(
         F.col("preco_promocional"), F.col("preco_regular"), F.col("desconto_percentual")))
-    return CL.cluster_profiles(CL.kmeans(f.select("pagina", "pos", *CL.FEATURES), 4))
+    return CL.cluster_profiles(CL.kmeans(f.select("pagina", "pos", *CL.FEATURES), 4, **ONE))
 
 
 G = "g AS (SELECT categoria_normalizada, cycle, AVG(preco_regular) AS y, AVG(CAST(promocao_ativa AS DOUBLE)) * 100 AS r FROM p GROUP BY 1, 2)"
@@ -126,14 +160,30 @@ def m01(spark, d):
     return out.select("pagina", "pos", *[rounded(F.col(f"{c}_scaled"), 4).alias(f"{c}_scaled") for c in CL.FEATURES])
 
 
-@query("m02_kmeans_sweep")
+SWEEP = dict(ks=range(2, 11), starts=10, rounds=CL.ROUNDS)
+
+
+@query("m02_kmeans_sweep", on_features(f"""WITH {kmeans_sql(**SWEEP)},
+l AS (SELECT i, a.k, a.cluster, x0, x1, x2, n, x0 * x0 + x1 * x1 + x2 * x2 AS q FROM a{SWEEP['rounds']} a JOIN won USING (k, s) JOIN pt USING (i)),
+t AS (SELECT k, cluster, SUM(n) AS n, SUM(n * q) AS q, SUM(n * x0) AS s0, SUM(n * x1) AS s1, SUM(n * x2) AS s2 FROM l GROUP BY 1, 2),
+d AS (SELECT l.i, l.k, l.n, any_value(t.n) FILTER (t.cluster = l.cluster) AS own,
+  SUM(greatest(0, l.q * t.n - 2 * (x0 * s0 + x1 * s1 + x2 * s2) + t.q)) FILTER (t.cluster = l.cluster) AS a,
+  MIN(greatest(0, l.q * t.n - 2 * (x0 * s0 + x1 * s1 + x2 * s2) + t.q) / t.n) FILTER (t.cluster <> l.cluster) AS b FROM l JOIN t USING (k) GROUP BY 1, 2, 3),
+e AS (SELECT k, SUM(n * CASE WHEN own > 1 AND greatest(a / (own - 1), b) > 0 THEN (b - a / (own - 1)) / greatest(a / (own - 1), b) ELSE 0 END) / SUM(n) AS v FROM d GROUP BY 1)
+SELECT CAST(k AS INTEGER) AS k, {rnd('cost', 4)} AS inertia, {rnd('v', 5)} AS silhouette_squared, v = (SELECT MAX(v) FROM e) AS best FROM won JOIN e USING (k)"""))
 def m02(spark, d):
-    return CL.kmeans_sweep(featured(spark, d).select("pagina", "pos", *CL.FEATURES))
+    out = CL.kmeans_sweep(featured(spark, d).select("pagina", "pos", *CL.FEATURES), **SWEEP)
+    return out.withColumns({"inertia": rounded(F.col("inertia"), 4), "silhouette_squared": rounded(F.col("silhouette_squared"), 5)})
+
+
+@query("m02_silhouette_sweep")
+def m02_plain(spark, d):
+    return CL.silhouette_sweep(featured(spark, d).select("pagina", "pos", *CL.FEATURES), **SWEEP)
 
 
-@query("m03_kmeans")
+@query("m03_kmeans", on_features(f"WITH {kmeans_sql([4], **ONE)}, {LABELLED} SELECT * FROM lab"))
 def m03(spark, d):
-    return CL.kmeans(featured(spark, d).select("pagina", "pos", *CL.FEATURES), 4)
+    return CL.kmeans(featured(spark, d).select("pagina", "pos", *CL.FEATURES), 4, **ONE)
 
 
 @query("m04_cluster_profiles", on_features(f"""WITH g AS (SELECT CAST(cycle AS INTEGER) AS cluster, COUNT(preco_regular) AS count, {rnd('AVG(preco_regular)')} AS avg_price,
