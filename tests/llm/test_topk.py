@@ -44,20 +44,36 @@ def test_equals_brute_force(spark, blocks):
 
 
 def test_stops_early():
+    # few dimensions hold nearly all: most candidates are never scored
     rng = np.random.default_rng(1)
-    vectors = np.floor(256 * rng.standard_normal((5000, 4))).astype(np.int64)
-    lists, read = topk.Lists(np.arange(5000), vectors), []
-
-    class Counted(np.ndarray):
-        def __getitem__(self, at):
-            if isinstance(at, np.ndarray):
-                read.append(len(at))
-            return super().__getitem__(at)
-
-    lists.vectors = vectors.view(Counted)
-    ids, scores = lists.top(7, vectors[7], 5)
-    want = sorted((-int(s), i) for i, s in enumerate(vectors @ vectors[7]) if i != 7)[:5]
-    assert list(zip((-scores).tolist(), ids.tolist())) == want and sum(read) < 2500
+    vectors = np.floor(256 * rng.standard_normal((5000, 4)) * [1, 0.5, 0.1, 0.01])
+    lists = topk.Lists(np.arange(5000), vectors)
+    own = np.arange(0, 5000, 250)
+    best = lists.top(own, vectors[own], 5)
+    for i, place, score in zip(own, best.place, best.score):
+        want = sorted((-int(s), j) for j, s in enumerate(vectors @ vectors[i]) if j != i)[:5]
+        assert list(zip((-score).astype(int).tolist(), place.tolist())) == want
+    assert lists.scored < 0.3 * len(own) * 5000
+
+
+def test_large_components(spark):
+    # products beyond 2^53 and 2^63, and scaling beyond doubles
+    rows = [(0, [1.0, 1e20]), (1, [1e9, 1e9]), (2, [1e9, 1e9 + 1]), (3, [3.0, -1e20]), (4, [1e308, 0.0]), (5, [-1e308, 2.0]), (6, [0.5, 0.25]),
+            (7, [2.0**40, 1.0]), (8, [2.0**40, 1.0 + 2**-8]), (9, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(256 * x) if abs(x) < 1e300 else 256 * int(x) for x in v] for i, v in rows}
+    held = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = []
+    for q, a in whole.items():
+        scores = sorted((-held(sum(x * y for x, y in zip(a, v))), i) for i, v in whole.items() if i != q)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:4], 1)]
+    assert sorted(map(tuple, topk.top_k(df, df, 4).collect())) == sorted(want)
+
+
+def test_many_equal_vectors():
+    vectors = np.tile([[3.0, -4.0]], (900, 1))
+    found = topk.search(vectors[:3], np.array([0, 5, 2000]), vectors, np.arange(900)[::-1].copy(), 5, 1.0)
+    assert found == [[(25, i) for i in range(1, 6)], [(25, i) for i in (0, 1, 2, 3, 4)], [(25, i) for i in range(5)]]
 
 
 def test_odd_tables(spark):
