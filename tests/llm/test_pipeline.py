@@ -3,6 +3,8 @@
 import re
 
 import corpus_pipeline as P
+import pytest
+from pyspark.sql import functions as F
 from test_pii import BASE, holds
 from test_simhash import plain_fingerprint, plain_groups
 
@@ -53,3 +55,20 @@ def test_run_equals_the_stages(spark):
         docs = stage(spark, docs, SF)
     rows = sorted(r.doc_id for r in P.run(spark, SF).collect())
     assert rows and rows == sorted(r.doc_id for r in docs.collect())
+
+
+HELPERS = (
+    "h s hn sn h0 s0 h1 s1 n g0 evidence host suffix declared letters language confidence accepted ratio chance share total most w tokens draw topic "
+    "mix_source mix_tokens mix_sampled weight probability sampled fp u v lo hi row key id least component group item window slot kind start end spans pattern value score _h __h"
+).split()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_odd_rows_and_clashing_columns(spark, name):
+    stage, docs = dict(P.STAGES)[name], spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = [(None, None, None, None, None), (None, "", "en", "src0", 0), (-1, " \n", "en", "src0", 2), (-2, "the same text " * 5, "en", None, 70), (-2, "the same text " * 5, "en", None, 70)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    rows = lambda df: sorted(str((r["doc_id"], r["text"])) for r in df.collect())
+    extra = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(HELPERS)))
+    assert rows(stage(spark, extra, SF)) == rows(stage(spark, docs, SF))
+    assert stage(spark, docs.limit(0), SF).count() == 0

@@ -34,6 +34,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def prefix(df: DataFrame) -> str:
+    """A beginning that no column of ``df`` has (case is ignored), for helper columns."""
+    out = "_"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
 def cols(df: DataFrame, *names: str) -> list[Column]:
     """Columns by exact name, also when a name holds dots."""
     return [df[f"`{n}`"] for n in names]

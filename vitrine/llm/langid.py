@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import cols, fresh, small_batches, stored, utf8
+from vitrine.llm.common import cols, fresh, prefix, small_batches, stored, utf8
 
 BUCKETS = 1 << 16
 #: No language: also the answer where nothing else fits.
@@ -140,20 +140,21 @@ def identify(
     span, e = range(len(names)), F.col(ll)
     norm = sum((F.exp(e[i]) for i in span), F.lit(0.0))
     share = [F.when(F.col(some), F.exp(e[i]) / norm).otherwise(0.0) for i in span]  # what the text alone says
+    p = prefix(base)
     seen = F.col(some).cast("double")
-    by_host = base.groupBy(F.col(at).alias("h"), F.col(end).alias("s")).agg(F.sum(seen).alias("hn"), *(F.sum(share[i]).alias(f"h{i}") for i in span))
+    by_host = base.groupBy(F.col(at).alias(f"{p}h"), F.col(end).alias(f"{p}s")).agg(F.sum(seen).alias(f"{p}hn"), *(F.sum(share[i]).alias(f"{p}h{i}") for i in span))
     by_host = stored(by_host, "hosts")
-    by_suffix = by_host.groupBy("s").agg(F.sum("hn").alias("sn"), *(F.sum(f"h{i}").alias(f"s{i}") for i in span))
-    every = by_suffix.agg(F.sum("sn").alias("n"), *(F.sum(f"s{i}").alias(f"g{i}") for i in span)).first()
+    by_suffix = by_host.groupBy(f"{p}s").agg(F.sum(f"{p}hn").alias(f"{p}sn"), *(F.sum(f"{p}h{i}").alias(f"{p}s{i}") for i in span))
+    every = by_suffix.agg(F.sum(f"{p}sn").alias("n"), *(F.sum(f"{p}s{i}").alias(f"g{i}") for i in span)).first()
     total = every.n or 0.0
     prior = [((every[f"g{i}"] or 0.0) + 1.0) / (total + len(names)) for i in span]
-    levels = stored(by_host.join(by_suffix, "s").select("h", "hn", "sn", *(f"h{i}" for i in span), *(f"s{i}" for i in span)), "hosts")
-    joined = base.join(levels, base[at].eqNullSafe(levels["h"]), "left")
+    levels = stored(by_host.join(by_suffix, f"{p}s").select(f"{p}h", f"{p}hn", f"{p}sn", *(f"{p}h{i}" for i in span), *(f"{p}s{i}" for i in span)), "hosts")
+    joined = base.join(levels, base[at].eqNullSafe(levels[f"{p}h"]), "left")
 
     def smooth(i: int) -> Column:
         """Prior of language i at the host, without the document itself."""
-        up = (F.col(f"s{i}") - share[i] + STRENGTH * prior[i]) / (F.col("sn") - seen + STRENGTH)
-        return F.log(F.greatest((F.col(f"h{i}") - share[i] + STRENGTH * up) / (F.col("hn") - seen + STRENGTH), F.lit(1e-6)))
+        up = (F.col(f"{p}s{i}") - share[i] + STRENGTH * prior[i]) / (F.col(f"{p}sn") - seen + STRENGTH)
+        return F.log(F.greatest((F.col(f"{p}h{i}") - share[i] + STRENGTH * up) / (F.col(f"{p}hn") - seen + STRENGTH), F.lit(1e-6)))
 
     def agrees(claim: Column, i: int, right: float) -> Column:
         """Log-probability of a claim under language i: right with probability ``right``, else any other."""

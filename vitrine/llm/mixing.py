@@ -122,8 +122,8 @@ def mix(
         on = on & table[made[d]].eqNullSafe(ratio[f"{d}_c"])
     out = table.join(ratio, on, "left").select(
         *(table[f"`{c}`"] for c in keep), *(table[made[n]] for n in ("source", "lang", "topic", "tokens")),
-        F.coalesce("ratio", F.lit(0.0)).alias(made["weight"]), F.coalesce("chance", F.lit(0.0)).alias(made["probability"]),
-        (table[made["draw"]] < F.coalesce("chance", F.lit(0.0))).alias(made["sampled"]),
+        F.coalesce(ratio["ratio"], F.lit(0.0)).alias(made["weight"]), F.coalesce(ratio["chance"], F.lit(0.0)).alias(made["probability"]),
+        (table[made["draw"]] < F.coalesce(ratio["chance"], F.lit(0.0))).alias(made["sampled"]),
     )
     return out, made
 
