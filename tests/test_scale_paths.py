@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import baskets as B, clusters as CL, itemsets as I, quantiles as Q, similar as SI, stats as S, texts as T
+from vitrine.operators import baskets as B, clusters as CL, itemsets as I, quantiles as Q, similar as SI, stats as S, texts as T, trends as TR
 from vitrine.sources import pages as PG
 
 
@@ -281,6 +281,20 @@ def test_silhouettes_equal_all_pairs(spark, monkeypatch, cells):
     assert sum(r["best"] for r in plain.values()) == 1 and plain[2]["inertia"] == pytest.approx(squared[2]["inertia"])
 
 
+def test_periods_are_counted_and_not_rows(spark):
+    rows = [("a", c, float(c * c), True) for c in range(1, 27) if c not in (9,)]
+    df = spark.createDataFrame(rows, "k string, c int, preco_regular double, promocao_ativa boolean")
+    y = {c: v for _, c, v, _ in rows}
+    got = {r["c"]: r for r in TR.decompose(df, "k", "c", 12).collect()}
+    for c in y:
+        span = [y.get(x) for x in range(c - 6, c + 7)]
+        want = None if None in span else (sum(span) - (span[0] + span[-1]) / 2) / 12
+        assert got[c]["trend"] == (None if want is None else pytest.approx(want, abs=1e-4)), c
+    assert sum(r["trend"] is not None for r in got.values()) == 5
+    mean = {r["c"]: r["avg_price_ma"] for r in TR.moving_average(df, "k", "c", 3).collect()}
+    assert mean[10] == pytest.approx((64 + 100) / 2) and mean[11] == pytest.approx((100 + 121) / 2) and mean[12] == pytest.approx(round((100 + 121 + 144) / 3, 2))
+
+
 def test_kmeans_on_too_few_points(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0)] * 3, "preco_regular double, desconto_calculado double, volume_numeric double")
     assert [r["cluster"] for r in CL.kmeans(df, 4).collect()] == [None] * 3

@@ -72,23 +72,37 @@ def _per_period(df: DataFrame, key: str, time: str, measure: Column) -> DataFram
     return df.dropna(subset=[key, time]).groupBy(key, time).agg(measure.alias("_y"))
 
 
+def _around(key: str, time: str, first: int, last: int):
+    """The periods from ``first`` to ``last`` after a row's own, counted in periods, so a missing one stays missing."""
+    return W.partitionBy(key).orderBy(F.col(time).cast("long")).rangeBetween(first, last)
+
+
 def moving_average(df: DataFrame, key: str, time: str, n: int = 3) -> DataFrame:
-    """Mean price and promotion rate per period, with the mean over the last ``n`` periods."""
+    """Mean price and promotion rate per period, with the mean over those of the last ``n`` periods that have rows."""
     g = df.dropna(subset=[key, time]).groupBy(key, time).agg(
         F.avg("preco_regular").alias("_p"), (F.avg(F.col("promocao_ativa").cast("double")) * 100).alias("_r"))
-    last = W.partitionBy(key).orderBy(time).rowsBetween(-(n - 1), 0)
+    last = _around(key, time, -(n - 1), 0)
     return g.select(
         key, time, rounded(F.col("_p")).alias("avg_price"), rounded(F.col("_r")).alias("promo_rate"),
         rounded(F.avg("_p").over(last)).alias("avg_price_ma"), rounded(F.avg("_r").over(last)).alias("promo_rate_ma"))
 
 
 def decompose(df: DataFrame, key: str, time: str, period: int = 3) -> DataFrame:
-    """Additive parts of the mean price: centred moving mean over an odd period, mean deviation by
-    phase, and the rest."""
+    """Additive parts of the mean price: moving mean over a period centred on the row's own, mean deviation by
+    phase, and the rest.
+
+    With an even period the mean spans one more, and the first and last count half. Where one of the periods
+    it spans has no rows, there is no trend and no rest.
+    """
     g = _per_period(df, key, time, F.avg("preco_regular"))
     half = period // 2
-    centred = W.partitionBy(key).orderBy(time).rowsBetween(-half, half)
-    trend = F.when(F.count("_y").over(centred) == period, F.avg("_y").over(centred))
+    whole = _around(key, time, -half, half)
+    if period % 2:
+        total = F.sum("_y").over(whole)
+    else:
+        ends = F.sum("_y").over(_around(key, time, -half, -half)) + F.sum("_y").over(_around(key, time, half, half))
+        total = F.sum("_y").over(whole) - ends / 2
+    trend = F.when(F.count("_y").over(whole) == 2 * half + 1, total / period)
     t = g.withColumn("_t", trend).withColumn("phase", F.col(time) % period)
     s = t.withColumn("_s", F.avg(F.col("_y") - F.col("_t")).over(W.partitionBy(key, "phase")))
     return s.select(

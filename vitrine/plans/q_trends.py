@@ -111,19 +111,28 @@ G = "g AS (SELECT categoria_normalizada, cycle, AVG(preco_regular) AS y, AVG(CAS
 
 @query("d19_moving_average", on_products(f"""WITH {G} SELECT categoria_normalizada, cycle, {rnd('y')} AS avg_price, {rnd('r')} AS promo_rate,
   {rnd('AVG(y) OVER l')} AS avg_price_ma, {rnd('AVG(r) OVER l')} AS promo_rate_ma FROM g
-  WINDOW l AS (PARTITION BY categoria_normalizada ORDER BY cycle ROWS 2 PRECEDING)"""))
+  WINDOW l AS (PARTITION BY categoria_normalizada ORDER BY cycle RANGE 2 PRECEDING)"""))
 def d19(spark, d):
     return TR.moving_average(products(spark, d), "categoria_normalizada", "cycle")
 
 
 @query("d20_decompose", on_products(f"""WITH {G}, t AS (SELECT *, CASE WHEN COUNT(*) OVER c = 3 THEN AVG(y) OVER c END AS tr FROM g
-  WINDOW c AS (PARTITION BY categoria_normalizada ORDER BY cycle ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+  WINDOW c AS (PARTITION BY categoria_normalizada ORDER BY cycle RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
 s AS (SELECT *, AVG(y - tr) OVER (PARTITION BY categoria_normalizada, cycle % 3) AS se FROM t)
 SELECT categoria_normalizada, cycle, {rnd('y', 4)} AS value, {rnd('tr', 4)} AS trend, {rnd('se', 4)} AS seasonal, {rnd('y - tr - se', 4)} AS residual FROM s"""))
 def d20(spark, d):
     return TR.decompose(products(spark, d), "categoria_normalizada", "cycle")
 
 
+@query("d20_decompose_even", on_products(f"""WITH {G}, o AS (SELECT * FROM g WHERE cycle <> 4),
+t AS (SELECT o.*, (SELECT CASE WHEN COUNT(*) = 5 THEN SUM(CASE WHEN abs(w.cycle - o.cycle) = 2 THEN w.y / 2 ELSE w.y END) / 4 END FROM o w
+  WHERE w.categoria_normalizada = o.categoria_normalizada AND abs(w.cycle - o.cycle) <= 2) AS tr FROM o),
+s AS (SELECT *, AVG(y - tr) OVER (PARTITION BY categoria_normalizada, cycle % 4) AS se FROM t)
+SELECT categoria_normalizada, cycle, {rnd('y', 4)} AS value, {rnd('tr', 4)} AS trend, {rnd('se', 4)} AS seasonal, {rnd('y - tr - se', 4)} AS residual FROM s"""))
+def d20_even(spark, d):
+    return TR.decompose(products(spark, d).where("cycle <> 4"), "categoria_normalizada", "cycle", 4)  # a missing cycle
+
+
 @query("d21_trend_slope", on_products(f"WITH {G} SELECT categoria_normalizada, {rnd('regr_slope(y, cycle)', 4)} AS slope FROM g GROUP BY 1"))
 def d21(spark, d):
     return TR.trend_slope(products(spark, d), "categoria_normalizada", "cycle")
