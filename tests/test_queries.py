@@ -6,7 +6,7 @@ from oracle import compare, connect
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"m02_silhouette_sweep", "d15_topics"}
+SLOW = {"m02_silhouette_sweep"}
 
 
 @pytest.fixture(scope="module")
@@ -34,8 +34,3 @@ def test_silhouette_sweep(spark):
     assert [r["k"] for r in sweep] == list(range(2, 11))
     assert sweep[-1]["inertia"] < sweep[0]["inertia"]
     assert all(-1 <= r["silhouette"] <= 1 for r in sweep) and sum(r["best"] for r in sweep) == 1
-
-
-def test_topics(spark):
-    out = E.queries()["d15_topics"](spark, SF).collect()
-    assert len(out) == 32 and {r["rank"] for r in out} == set(range(1, 9))

@@ -1,5 +1,6 @@
 """Exactness of the ways taken around hot groups, against brute force on skewed random data."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -299,3 +300,29 @@ def test_kmeans_on_too_few_points(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0)] * 3, "preco_regular double, desconto_calculado double, volume_numeric double")
     assert [r["cluster"] for r in CL.kmeans(df, 4).collect()] == [None] * 3
     assert CL.kmeans_sweep(df).count() == 0 == CL.silhouette_sweep(df.limit(0)).count()
+
+
+def test_topics_do_not_hang_on_partitions(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{rng.randint(10, 25)}" for _ in range(12)) + f" only{i}") for i in range(90)] + [(None, "a10 a11"), (500, None), (501, "")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    one = sorted(map(tuple, T.topics(df.coalesce(1), "id", "t", k=3, terms=5, rounds=15).collect()))
+    many = sorted(map(tuple, T.topics(df.repartition(20), "id", "t", k=3, terms=5, rounds=15).collect()))
+    assert [r[:3] for r in one] == [r[:3] for r in many] and np.allclose([r[3] for r in one], [r[3] for r in many], rtol=1e-9)
+    assert len(one) == 15 and not any(r[2].startswith("only") for r in one)
+    # the plain version, all texts at once
+    texts = [t.split() for i, t in rows if i is not None and t]
+    vocab = sorted({w for t in texts for w in t if sum(w in u for u in texts) >= 2})
+    x = np.array([[t.count(w) for w in vocab] for t in texts], float)
+    draw = lambda w, k: (int(hashlib.md5(f"42:{k}:{w}".encode()).hexdigest()[:8], 16) + 1) / 2**32
+    psi = lambda v: np.log(v + 6) - 1 / (2 * (v + 6)) - 1 / (12 * (v + 6) ** 2) + 1 / (120 * (v + 6) ** 4) - 1 / (252 * (v + 6) ** 6) - sum(1 / (v + i) for i in range(6))
+    lam, theta = np.array([[0.1 - math.log(draw(w, k)) for k in range(3)] for w in vocab]), np.ones((len(texts), 3))
+    for _ in range(15):
+        phi = np.exp(psi(lam) - psi(lam.sum(axis=0)))
+        r = theta[:, None, :] * phi[None]
+        r = x[:, :, None] * r / r.sum(axis=2, keepdims=True)
+        lam, theta = r.sum(axis=0) + 1 / 3, np.exp(psi(r.sum(axis=1) + 1 / 3))
+    weight = lam / lam.sum(axis=0)
+    for topic, rank, term, w in one:
+        assert abs(np.sort(weight[:, topic])[-rank] - w) < 1e-9 and abs(weight[vocab.index(term), topic] - w) < 1e-9
+    assert T.topics(df.limit(0), "id", "t").count() == 0
