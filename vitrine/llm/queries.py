@@ -23,7 +23,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_url_filter")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = spark.createDataFrame(urls.LABELLED, "url string, label int")
+    labelled = spark.createDataFrame(urls.labelled_urls(), "url string, label int")
     return urls.judge(table(spark, sf_dir, "pages"), labelled, URL_RULES)
 
 

@@ -20,21 +20,40 @@ from vitrine.llm.common import small_batches
 MOST_LABELLED = 20_000
 BUCKETS = 1 << 16
 
-#: A small labelled table: typical hosts and paths, 1 for block.
-LABELLED = [
-    *((f"http://{h}/en/page", 1) for h in (
-        "casino-win.com", "best-casino.net", "poker-bets.com", "free-bets.net", "bet-slots.org", "spam-farm.net", "link-farm.com",
-        "cheap-pills.com", "pills-online.net", "buy-viagra.org", "adult-x.com", "xxx-adult.net", "porn-tube.com", "ads-track.net",
-        "ads-click.com", "track-pixel.net", "malware-drop.com", "phish-login.net", "free-win.com", "cheap-loans.net", "payday-loans.com",
-        "crack-keygen.org", "warez-free.net", "replica-watches.com",
-    )),
-    *((f"https://{h}/en/page", 0) for h in (
-        "news.com", "daily.net", "library.org", "museum.org", "school.net", "garden.com", "weather.net", "recipes.com", "science.org",
-        "history.net", "travel.com", "forum.net", "wiki.org", "music.net", "books.com", "health.org", "cycling.net", "astronomy.org",
-        "blog.thother.com", "thonre.net", "ertion.org", "www.theand.net", "m.stering.com", "onthing.org",
-    )),
-    *((f"https://{h}{p}", 0) for h in ("news.com", "library.org", "blog.thother.net") for p in ("/", "/fr/12/", "/de/77.html", "/es/5?page=2", "/about")),
-]
+#: Words of names that a block list holds, and of names that it does not.
+BLOCK_WORDS = (
+    "casinos onlinecasino pokerroom pokerstar bet betting bettor sportsbet slots slotmachine jackpot roulette blackjack bingo lottery "
+    "lotto gamble gambling wager spammer spammers spamming bulkmail massmail linkfarms linkspam backlinks pill pillstore viagra "
+    "cialis pharma meds xanax dietpill adults adultcams xxx porn pornhd sexcam sexchat nudes escort hookup webcamgirl adserver adserv "
+    "adclick adsense banners popup popunder tracker tracking trackers clickbait pixeltag malware spyware trojan phishing phish keylogger "
+    "ransom warez crack cracked keygen serials torrent nulled payday loans quickcash replica fakewatch counterfeit getrich cheapest "
+    "cheaper freebie freecoins winner winbig prizes"
+).split()
+ALLOW_WORDS = (
+    "news daily herald library museum school college garden weather recipes science history travel forum wiki music books health cycling "
+    "astronomy station nation mountain river thunder weather theatre theory mathematics other brother earth north south letters "
+    "writing reading teaching learning painting sailing fishing hiking running cooking baking engine motion fashion ocean island "
+    "village station education information tradition translation hospital doctor nature forest animal birds butterfly flowers tree "
+    "kitchen bread cheese coffee tea orchard harvest farmer market bakery railway bridge harbour lantern window shelter timber stone "
+    "paper pencil canvas violin piano choir orchestra ballet opera festival parish council ministry senate archive almanac journal "
+    "gazette chronicle observer parent children family wedding holiday heritage castle cathedral"
+).split()
+PREFIXES = ("", "www.", "", "blog.", "m.", "", "shop.", "en.")
+ENDINGS = ("com", "net", "org", "info", "co", "de")
+PATHS = ("/", "/en/page", "/fr/12", "/de/77.html", "/es/5", "/about", "/item/903", "/2021/04/a-post", "/index.php", "", "/c/9.htm")
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The small labelled table, 1 for block: names of one word, or of two joined or hyphened. Both classes
+    have the same number of rows and the same prefixes, endings, paths and joints in turn, so only the words tell."""
+    rows = []
+    for label, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)):
+        for i in range(3 * max(len(BLOCK_WORDS), len(ALLOW_WORDS))):
+            turn, at = divmod(i, len(words))
+            second = words[(at * 7 + 11 * turn + 5) % len(words)]
+            name = (words[at], f"{words[at]}-{second}", f"{words[at]}{second}")[i % 3]
+            rows.append((f"http{'s' * (i // 2 % 2)}://{PREFIXES[i % len(PREFIXES)]}{name}.{ENDINGS[i % len(ENDINGS)]}{PATHS[i % len(PATHS)]}", label))
+    return rows
 
 
 def host_of(url: Column) -> Column:
