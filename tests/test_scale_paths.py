@@ -31,6 +31,28 @@ def test_percentiles_match_numpy(spark):
     assert math.isclose(whole, float(np.quantile([v for _, v in rows if v is not None], 0.5)))
 
 
+@pytest.mark.parametrize("most", [1, 50, 1 << 16])
+def test_percentiles_of_values_crowded_in_one_bin(spark, most):
+    """Full bins are cut again: values inside one percent, some apart by the last bits only, both signs."""
+    rng = np.random.default_rng(5)
+    near = 1.0 + np.arange(3000) * 2.0**-50
+    groups = {"a": 1000 + rng.permutation(20_000) / 2000, "b": np.concatenate([near, -near, [0.0, 5e9]]),
+              "c": np.array([3.5, 3.5]), "d": np.concatenate([-near, [1e-300, -1e300]])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
+    probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p77": 0.77, "p100": 1.0}
+    for r in Q.exact_percentiles(df, ["k"], "v", probs, most).collect():
+        for name, p in probs.items():
+            assert r[name] == pytest.approx(np.percentile(groups[r["k"]], p * 100), rel=1e-15), (r["k"], name)
+
+
+def test_no_bin_of_crowded_values_is_ordered_whole(spark):
+    """5 million values inside one percent: the rows that are ordered are a small share."""
+    df = spark.range(5_000_000, numPartitions=8).select((F.lit(1000.0) + F.pmod(F.col("id") * 7919, F.lit(5_000_000)) / 5e5).alias("v"))
+    assert Q.exact_percentiles(df, [], "v", {"m": 0.5}).first()["m"] == pytest.approx(1000 + 2_499_999.5 / 5e5, rel=1e-12)
+    binned = df.groupBy(Q._bin(F.col("v")).alias("b")).count().agg(F.max("count")).first()[0]
+    assert binned < 5_000_000 * 0.03
+
+
 def test_pair_counts_with_a_hot_group(spark):
     rng = random.Random(3)
     groups = {0: [f"i{j:03d}" for j in range(300)]}  # more items than one set holds
