@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import baskets as B, clusters as CL, itemsets as I, quantiles as Q, similar as SI, stats as S, texts as T, trends as TR
+from vitrine.operators import baskets as B, categories as C, clusters as CL, itemsets as I, quantiles as Q, similar as SI, stats as S, texts as T, trends as TR
 from vitrine.sources import pages as PG
 
 
@@ -53,6 +53,49 @@ def test_no_bin_of_crowded_values_is_ordered_whole(spark):
     assert binned < 5_000_000 * 0.03
 
 
+def edited_words(words, n, seed):
+    """``n`` of ``words`` with up to four letters changed, lost or put in."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        w = list(rng.choice(words))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(w) + 1)
+            w[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "á", "ee"])
+        out.append("".join(w))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [30, 60, 75, 90, 100])
+def test_terms_found_by_pieces_are_all(spark, threshold):
+    """On the categories and their synonyms, against the score of every pair."""
+    dim = C.category_dim(spark)
+    words = [r.term for r in dim.select("term").collect()]
+    some = edited_words(words, 250, 1) + ["", " ", "a", "  Perfume ", "x" * 3000, words[0] * 40]
+    values = spark.createDataFrame([(w,) for w in some], "v string")
+    pairs = values.distinct().crossJoin(dim).select("v", "pos", C.levenshtein_score(F.col("v"), F.col("term")).alias("score"))
+    want = {tuple(r) for r in pairs.where(F.col("score") >= threshold).collect()}
+    got = {tuple(r) for r in C.near_terms(values, "v", dim, threshold).select("v", "pos", "score").collect()}
+    assert got == want and (want or threshold == 100)
+    whole = C.match_categories(values, "v", dim, threshold, "levenshtein").collect()
+    fast = {r.v: r for r in C.match_categories(values, "v", dim, threshold, "levenshtein", low_scores=False).collect()}
+    assert len(whole) == len(fast)
+    for r in whole:
+        other = fast[r.v]
+        assert (r.master, r.stage) == (other.master, other.stage) and other.score == (r.score if r.score >= threshold else None)
+
+
+def test_few_pairs_of_many_terms_meet(spark):
+    """Under one pair in fifty is scored with 20,000 terms."""
+    rng = random.Random(2)
+    parts = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(3000)]
+    terms = sorted({" ".join(rng.sample(parts, rng.randint(1, 3))) for _ in range(20_000)})
+    dim = spark.createDataFrame([(i, "master", t, t, t) for i, t in enumerate(terms)], C.DIM_SCHEMA)
+    values = spark.createDataFrame([(w,) for w in edited_words(terms, 500, 3)], "v string")
+    met = C.met_terms(values, "v", dim).select("v", "pos").distinct().count()
+    assert met < 0.02 * values.distinct().count() * len(terms)
+    assert C.best_near_term(values, "v", dim).count() > 300
+
+
 def test_pair_counts_with_a_hot_group(spark):
     rng = random.Random(3)
     groups = {0: [f"i{j:03d}" for j in range(300)]}  # more items than one set holds

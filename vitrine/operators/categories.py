@@ -1,7 +1,9 @@
 """Category dimension and staged matching: exact, synonym, fuzzy.
 
-Only distinct values that the two equi-joins leave over are scored, each against the dimension in
-pieces of bounded size, and the best score is folded inside the row: no pair is ever emitted.
+Only distinct values that the two equi-joins leave over are scored. Where the score of values that no
+term comes close to is not asked for, pieces of the terms find the few that can reach the threshold.
+Else each value meets the dimension in pieces of bounded size, and the best score is folded inside the
+row: no pair is ever emitted.
 """
 
 from __future__ import annotations
@@ -79,10 +81,72 @@ def score_categories(values: DataFrame, raw: str, dim: DataFrame, scorer: str =
     )
 
 
+def _kinds(text: Column, n: int) -> Column:
+    """A bit for each class of runs of ``n`` letters in ``text``."""
+    runs = F.when(F.length(text) >= n, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))))
+    bits = F.transform(runs, lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(r), F.lit(64))))
+    return F.coalesce(F.aggregate(bits, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y)), F.lit(0).cast("long"))
+
+
+def _alone(a: str, b: str) -> Column:
+    """The greater number of classes that one of two sets has and the other has not."""
+    return F.greatest(*[F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y)))) for x, y in ((a, b), (b, a))])
+
+
+def met_terms(values: DataFrame, raw: str, dim: DataFrame, threshold: int = K.FUZZY_THRESHOLD) -> DataFrame:
+    """Pairs of a value and a term among which are all that score ``threshold`` (above 0) or more by edits.
+
+    A score that high allows a term of n letters n (100 - t) / t edits at most. Cut into one piece more
+    than that, it keeps a piece whole, which the value holds close to the same place. Values meet terms by
+    length, piece and its number only, and a pair goes where one side alone has more letters than edits,
+    or more letter pairs than twice that; a pair that shares several pieces comes several times.
+    """
+    lost, kept = 100 - threshold, threshold
+    length, number = F.col("_length"), F.col("_number")
+    pieces = F.floor(length * lost / kept) + 1
+    start, end = F.floor(number * length / pieces), F.floor((number + 1) * length / pieces)
+    terms = dim.select("pos", "term", "master", F.lower("term").alias("_term")).withColumn("_length", F.length("_term"))
+    posted = terms.withColumns({"_one": _kinds(F.col("_term"), 1), "_two": _kinds(F.col("_term"), 2)}).withColumn("_number", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).select(
+        "*", F.substring("_term", start + 1, end - start).alias("_piece"))
+    lengths = terms.agg(F.sort_array(F.collect_set("_length"))).scalar()
+    edited = values.select(raw).distinct().withColumn("_value", F.lower(strip(F.col(raw)))).withColumns(
+        {"_size": F.length("_value"), "_own_one": _kinds(F.col("_value"), 1), "_own_two": _kinds(F.col("_value"), 2)})
+    size = F.col("_size")
+    met = edited.withColumn("_length", F.explode(lengths)).where((length * 100 >= size * kept) & (size * 100 >= length * kept))
+    edits = F.floor(F.greatest(size, length) * lost / 100)
+    shifts = F.filter(F.sequence(-edits, edits), lambda by: (
+        (F.abs(by) + F.abs(size - length - by) <= edits) & (start + by >= 0) & (end + by <= size)))
+    held = F.array_distinct(F.transform(shifts, lambda by: F.substring(F.col("_value"), start + by + 1, end - start)))
+    asked = (
+        met.withColumn("_number", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+        .select(raw, "_value", "_own_one", "_own_two", edits.alias("_edits"), "_length", "_number", F.explode(held).alias("_piece"))
+    )
+    few = (_alone("_own_one", "_one") <= F.col("_edits")) & (_alone("_own_two", "_two") <= 2 * F.col("_edits"))
+    return asked.join(posted, ["_length", "_number", "_piece"]).where(few).select(raw, "_value", "_term", "pos", "term", "master")
+
+
+def near_terms(values: DataFrame, raw: str, dim: DataFrame, threshold: int = K.FUZZY_THRESHOLD) -> DataFrame:
+    """All terms that score ``threshold`` (above 0) or more by edits, once each: raw, score, pos, term, master."""
+    score = levenshtein_score(F.col("_value"), F.col("_term")).alias("score")
+    met = met_terms(values, raw, dim, threshold).dropDuplicates([raw, "pos"])
+    return met.select(raw, score, "pos", "term", "master").where(F.col("score") >= threshold)
+
+
+def best_near_term(values: DataFrame, raw: str, dim: DataFrame, threshold: int = K.FUZZY_THRESHOLD) -> DataFrame:
+    """The best term of every value that has one of ``threshold`` or more; ties as in ``score_categories``."""
+    best = F.max(F.struct("score", (-F.col("pos")).alias("order"), "term", "master")).alias("_b")
+    return near_terms(values, raw, dim, threshold).groupBy(raw).agg(best).select(raw, "_b.score", "_b.term", "_b.master")
+
+
 def match_categories(
-    df: DataFrame, raw: str, dim: DataFrame, threshold: int = K.FUZZY_THRESHOLD, scorer: str = "weighted"
+    df: DataFrame, raw: str, dim: DataFrame, threshold: int = K.FUZZY_THRESHOLD, scorer: str = "weighted",
+    low_scores: bool = True,
 ) -> DataFrame:
-    """One row per distinct value: its master, the stage that found it, and the fuzzy score."""
+    """One row per distinct value: its master, the stage that found it, and the fuzzy score.
+
+    Without ``low_scores`` a score below the threshold is null, and the scorer by edits takes the index.
+    """
     values = df.where(F.col(raw) != "").select(raw).distinct()
     lookup = dim.groupBy("term_lc").agg(
         F.min(F.struct(F.when(F.col("kind") == "master", 0).otherwise(1).alias("k"), "pos", "master")).alias("_hit")
@@ -93,7 +157,13 @@ def match_categories(
         F.when(F.col("_hit.k") == 0, "exact").otherwise("synonym").alias("stage"),
         F.lit(100).alias("score"),
     )
-    best = score_categories(staged.where("_hit IS NULL"), raw, dim, scorer)
+    left = staged.where("_hit IS NULL")
+    if low_scores or threshold <= 0 or scorer != "levenshtein":
+        best = score_categories(left, raw, dim, scorer)
+        if not low_scores:
+            best = best.withColumn("score", F.when(F.col("score") >= threshold, F.col("score")))
+    else:
+        best = left.select(raw).join(best_near_term(left, raw, dim, threshold), raw, "left")
     good = F.col("score") >= threshold
     fuzzy = best.select(
         raw, F.when(good, F.col("master")).otherwise(F.lit(K.UNMAPPED)).alias("master"),
@@ -107,7 +177,7 @@ def normalize_categories(
     threshold: int = K.FUZZY_THRESHOLD, scorer: str = "weighted",
 ) -> DataFrame:
     """Master category of every row; no category, or none good enough, gives the unmapped label."""
-    found = match_categories(df, raw, dim, threshold, scorer).select(
+    found = match_categories(df, raw, dim, threshold, scorer, low_scores=False).select(
         F.col(raw).alias("_raw"), F.col("master").alias("_master"))
     joined = df.join(found, F.col(raw) == F.col("_raw"), "left")
     return joined.withColumn(out, F.coalesce("_master", F.lit(K.UNMAPPED))).drop("_raw", "_master")

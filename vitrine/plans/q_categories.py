@@ -73,6 +73,43 @@ def j03b(spark, d):
     return C.match_categories(with_raw_category(products(spark, d)), "cat_in", derived_dim(spark, d), scorer="weighted")
 
 
+NAMES_SQL = """WITH v AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN upper(substr(p_name, 2)) WHEN 1 THEN substr(p_name, 1, 5) || 'x' || substr(p_name, 6)
+    ELSE replace(p_name, 'e', '') || ' s' END AS name FROM part),
+d AS (SELECT row_number() OVER (ORDER BY p_name) - 1 AS pos, p_name AS term FROM (SELECT DISTINCT p_name FROM part)),
+s AS (SELECT name, term, pos, CAST(floor((greatest(length(trim(name)), length(term)) - levenshtein(lower(trim(name)), lower(term))) * 100.0
+    / greatest(length(trim(name)), length(term), 1)) AS INTEGER) AS score FROM v CROSS JOIN d)
+"""
+
+
+def mangled_names(spark, d):
+    """Part names with a letter lost, put in, or several lost, and a dimension of all part names."""
+    part = table(spark, d, "part")
+    name = F.col("p_name")
+    turn = F.col("p_partkey") % 3
+    values = part.select(
+        F.when(turn == 0, F.upper(F.expr("substr(p_name, 2)")))
+        .when(turn == 1, F.concat(F.substring(name, 1, 5), F.lit("x"), F.expr("substr(p_name, 6)")))
+        .otherwise(F.concat(F.replace(name, F.lit("e"), F.lit("")), F.lit(" s"))).alias("name")).distinct()
+    # one row per word of a vocabulary, as in derived_dim
+    dim = part.select(F.col("p_name").alias("term")).distinct().select(
+        (F.row_number().over(W.orderBy("term")) - 1).cast("long").alias("pos"), F.lit("master").alias("kind"),
+        "term", F.lower("term").alias("term_lc"), F.col("term").alias("master"))
+    return values, dim
+
+
+@query("j03_fuzzy_indexed", NAMES_SQL + """SELECT name, term, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, pos) AS r
+  FROM s WHERE score >= 75) WHERE r = 1""")
+def j03c(spark, d):
+    values, dim = mangled_names(spark, d)
+    return C.best_near_term(values, "name", dim).select("name", "term", "score")
+
+
+@query("j03_near_terms", NAMES_SQL + "SELECT name, term, score FROM s WHERE score >= 85")
+def j03d(spark, d):
+    values, dim = mangled_names(spark, d)
+    return C.near_terms(values, "name", dim, 85).select("name", "term", "score")
+
+
 @query("j04_normalize_rows", on_dim("SELECT pagina, pos, COALESCE(master, 'Outros') AS normalized FROM x LEFT JOIN mapping USING (cat_in)"))
 def j04(spark, d):
     rows = with_raw_category(products(spark, d)).select("pagina", "pos", "cat_in")
