@@ -89,6 +89,35 @@ def s06(spark, d):
         F.max(F.array_join("document.statistics.categories", ";")).alias("categories"), F.sum(F.size("document.products")).cast("long").alias("listed"))
 
 
+_NESTED: dict[tuple[str, str], str] = {}
+
+
+def nested(spark, d):
+    """Folder with one nested document a catalogue, written once per session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _NESTED:
+        path = new_run_dir(spark, "nested")
+        C.write_nested(document_rows(spark, d), headers(spark, d), path, global_rules(spark, d), whole=False)
+        _NESTED[key] = path
+    return _NESTED[key]
+
+
+@query("s06_nested_documents", on_products("""SELECT source_file, pagina, codigo, nome, preco_regular, preco_promocional, promo_type,
+  preco_promocional > preco_regular AS flagged FROM p"""))
+def s06_nested(spark, d):
+    rows = C.read_catalogs(spark, nested(spark, d), "parts", BRAND_RULES, "none")
+    return rows.select("source_file", F.col("pagina").cast("long").alias("pagina"), "codigo", "nome", "preco_regular", "preco_promocional", "promo_type",
+                       F.when(F.col("preco_promocional").isNotNull() & F.col("preco_regular").isNotNull(), F.size("alertas") > 0).alias("flagged"))
+
+
+@query("s06_nested_order", on_products("""SELECT source_file, pagina, COUNT(*) AS listed, CAST(MIN(place) AS INTEGER) AS first_place, CAST(MAX(place) AS INTEGER) AS last_place
+  FROM (SELECT source_file, pagina, row_number() OVER (PARTITION BY source_file ORDER BY pagina) - 1 AS place FROM p) GROUP BY 1, 2"""))
+def s06_nested_order(spark, d):
+    rows = C.read_catalogs(spark, nested(spark, d), "parts", BRAND_RULES, "none")
+    return rows.groupBy("source_file", F.col("pagina").cast("long").alias("pagina")).agg(
+        F.count(F.lit(1)).alias("listed"), F.min("pos").alias("first_place"), F.max("pos").alias("last_place"))
+
+
 @query("s06_global_rules", on_products("""SELECT source_file, promo_type AS type, unnest([1, 2]) AS pages, CAST(unnest([MIN(pagina), MAX(pagina)]) AS INTEGER) AS first_page
   FROM p GROUP BY 1, 2"""))
 def s06_rules(spark, d):
