@@ -9,7 +9,7 @@ from vitrine.plans.products import on_products, products
 from vitrine.plans.registry import query, table
 from vitrine.session import materialise, new_run_dir
 from vitrine.sources import catalogs as C, pages as PG, responses as RS
-from vitrine.streaming.ingest import read_ingested, stream_pages
+from vitrine.streaming.ingest import compact, read_ingested, stream_pages
 
 BRAND_RULES = [("aurora", "aurora"), ("brisa", "brisa")]
 _WRITTEN: dict[tuple[str, str], str] = {}
@@ -285,6 +285,20 @@ def s17(spark, d):
     return item_columns(RS.split_valid(read_ingested(spark, f"{run}/out")[0])[0])
 
 
+@query("s17_compacted_pages", on_products(ITEM_SQL + " WHERE kind NOT IN (0, 1, 5, 7)"))
+def s17_compacted(spark, d):
+    """Half of the pages are ingested and compacted; then come the others, and some of the first again."""
+    run = new_run_dir(spark, "stream")
+    answers = responses(spark, d)
+    half = F.pmod(F.hash("source_file", "page_number"), F.lit(4))
+    answers.where(half < 2).repartition(3).write.parquet(f"{run}/in")
+    stream_pages(spark, f"{run}/in", f"{run}/out", f"{run}/progress", files_per_batch=2)
+    compact(spark, f"{run}/out")
+    answers.where(half >= 1).repartition(3).write.mode("append").parquet(f"{run}/in")
+    stream_pages(spark, f"{run}/in", f"{run}/out", f"{run}/progress", files_per_batch=2)
+    return item_columns(RS.split_valid(read_ingested(spark, f"{run}/out")[0])[0])
+
+
 @query("s18_union_catalogs", on_products("SELECT brand, pagina, pos, codigo, CASE WHEN brand = 'aurora' THEN linha END AS linha FROM p"))
 def s18(spark, d):
     p = products(spark, d).select("brand", "pagina", "pos", "codigo", "linha")
