@@ -2,6 +2,7 @@
 
 import datetime
 
+from vitrine.plans import QUERIES
 from vitrine.plans.products import derive_products, products
 
 
@@ -26,3 +27,11 @@ def test_products_of_repeated_and_missing_parts(spark, tmp_path):
     got = sorted((r["codigo"], r["nome"], r["categoria_raw"], r["volume_peso"], r["volume_numeric"], r["volume_unit"]) for r in rows if r["nome"] != "b2")
     assert got == [("00001", "a", "large", "2x2ml", 4.0, "ml")] * 2 + [("00002", "b", "SMAL", "35ml", 35.0, "ml")]
     assert [(r["codigo"], r["volume_numeric"]) for r in rows if r["nome"] == "b2"] == [("00002", None)]
+
+
+def test_retries_parse_answers_for_their_items_alone(spark, tmp_path):
+    plan = lambda name: QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    folder = tables(spark, tmp_path)
+    assert "parse_json" not in plan("s14_still_failed")
+    scans = [line for line in plan("s14_merge_retry").split("\n") if "raw_response" in line and "Relation" in line]
+    assert len(scans) == 1

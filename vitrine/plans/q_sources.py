@@ -233,26 +233,28 @@ def s13(spark, d):
 
 
 def retried(spark, d):
-    """Answers of a second run: failed pages with an even rest come out whole this time."""
+    """Pages of a first run and their outcomes, and those of a second run: failed pages with an even rest come out whole
+    this time. Outcomes are stored, as what is asked of them would parse every answer again each time."""
     parsed = RS.parse_page_responses(responses(spark, d))
-    again = parsed.where(~F.col("success") & (F.col("page_number") % 20 == 0)).select(
+    results = materialise(RS.page_results(parsed), "results")
+    again = results.where(~F.col("success") & (F.col("page_number") % 20 == 0)).select(
         "source_file", "page_number", F.lit('{"itens": [{"codigo": 77, "nome": "de novo", "preco_regular": "R$ 1.234,56"}]}').alias("raw_response"))
-    return parsed, RS.parse_page_responses(again)
+    second = RS.parse_page_responses(again)
+    return parsed, results, second, materialise(RS.page_results(second), "results")
 
 
 @query("s14_merge_retry", on_products(f"WITH {PAGE_SQL} SELECT file AS source_file, pos AS page_number, CASE kind WHEN 0 THEN '00077' WHEN 6 THEN 'None' ELSE codigo END AS codigo, CASE kind WHEN 0 THEN 1234.56 ELSE price END AS preco_regular FROM i WHERE kind NOT IN (0, 1, 5, 7) OR pos % 20 = 0"))
 def s14(spark, d):
-    first, second = retried(spark, d)
+    first, results, second, second_results = retried(spark, d)
     merged, _, _ = PG.merge_retry(
-        RS.split_valid(RS.explode_items(first))[0], RS.page_results(first), RS.split_valid(RS.explode_items(second))[0], RS.page_results(second))
+        RS.split_valid(RS.explode_items(first))[0], results, RS.split_valid(RS.explode_items(second))[0], second_results)
     return merged.select("source_file", "page_number", "codigo", "preco_regular")
 
 
 @query("s14_still_failed", on_products(f"WITH {PAGE_SQL} SELECT file AS source_file, pos AS page_number FROM i WHERE kind = 0 AND pos % 20 <> 0"))
 def s14b(spark, d):
-    first, second = retried(spark, d)
-    return PG.merge_retry(
-        RS.explode_items(first), RS.page_results(first), RS.explode_items(second), RS.page_results(second))[2]
+    first, results, second, second_results = retried(spark, d)
+    return PG.merge_retry(RS.explode_items(first), results, RS.explode_items(second), second_results)[2]
 
 
 def listing(spark, d):
