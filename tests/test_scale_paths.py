@@ -347,6 +347,13 @@ def test_silhouettes_equal_all_pairs(spark, monkeypatch, cells):
     assert sum(r["best"] for r in plain.values()) == 1 and plain[2]["inertia"] == pytest.approx(squared[2]["inertia"])
 
 
+def test_points_of_the_silhouette_go_to_few_rows_of_cells():
+    for points in (1, 5_000, 500_000, 3_000_000):
+        rows, columns = CL.cells_of(points, 12)
+        assert 1 <= rows <= max(48, points // 32_768 + 1) and columns == -(-points // 131_072)
+        assert rows * columns >= min(48, points // 2_048)
+
+
 def test_periods_are_counted_and_not_rows(spark):
     rows = [("a", c, float(c * c), True) for c in range(1, 27) if c not in (9,)]
     df = spark.createDataFrame(rows, "k string, c int, preco_regular double, promocao_ativa boolean")
