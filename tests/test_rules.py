@@ -114,3 +114,35 @@ def test_pipeline_appends_alerts(spark):
     row = V.process_products(df, C.category_dim(spark)).first()
     assert row["categoria_normalizada"] == "Cabelos"
     assert [a["field"] for a in row["alertas"]] == ["preco_regular", "promocao_ativa"]
+
+
+def test_rows_stay_where_they_are_when_few_categories_are_found(spark, capsys):
+    dim = spark.createDataFrame([(1, "master", "Creams", "creams", "Creams")], "pos long, kind string, term string, term_lc string, master string")
+    df = spark.range(100_000).select("id", F.when(F.col("id") % 50 > 0, F.lit("Creams")).otherwise(F.lit("zz9")).alias("raw"))
+    out = C.normalize_categories(df, "raw", dim, "found", scorer="levenshtein")
+    assert sorted(map(tuple, out.groupBy("raw", "found").count().collect())) == [("Creams", "Creams", 98_000), ("zz9", "Outros", 2_000)]
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_alerts_of_a_code_of_any_size(spark, monkeypatch):
+    # 400 rows of one code and a few of others, ten rows a task
+    monkeypatch.setattr(V, "TASK_ROWS", 10, raising=False)
+    alert = lambda i: [("info", "f", f"m{i}", None, None)] if i % 3 == 0 else []
+    rows = [(("a", "b", None)[i % 3], None if i == 7 else "hot" if i < 400 else f"c{i % 40}", i // 2, i, alert(i)) for i in range(700)]
+    df = spark.createDataFrame(rows, f"source_file string, codigo string, pagina int, pos int, alertas {V.ALERT.simpleString().join(['array<', '>'])}")
+    want, each = {}, {}
+    for s, c, _, i, a in rows:
+        if c is not None:
+            for found, k in ((want, c), (each, (s, c))):
+                n, last = found.get(k, (0, []))
+                found[k] = (n + 1, [x[2] for x in a] or last)
+    full = lambda found: {k: last + [f"Duplicate product code found: {k if isinstance(k, str) else k[1]}"] * (n > 1) for k, (n, last) in found.items() if last or n > 1}
+    got = {r["codigo"]: [a["message"] for a in r["alerts"]] for r in V.validate_batch(df, ["pagina", "pos"]).collect()}
+    assert got == full(want)
+    head, details = V.report(df, ["pagina", "pos"])
+    assert {(r["source_file"], r["codigo"]): [a["message"] for a in r["alerts"]] for r in details.collect()} == full(each)
+    assert sum(r["total_products"] for r in head.collect()) == 699
+    parts = V._by_code(df.where("codigo <> 'hot'"), ["codigo"], F.count(F.lit(1))).rdd.getNumPartitions()
+    assert parts >= 30

@@ -176,9 +176,13 @@ def normalize_categories(
     df: DataFrame, raw: str, dim: DataFrame, out: str = "categoria_normalizada",
     threshold: int = K.FUZZY_THRESHOLD, scorer: str = "weighted",
 ) -> DataFrame:
-    """Master category of every row; no category, or none good enough, gives the unmapped label."""
-    found = match_categories(df, raw, dim, threshold, scorer, low_scores=False).select(
-        F.col(raw).alias("_raw"), F.col("master").alias("_master"))
+    """Master category of every row; no category, or none good enough, gives the unmapped label.
+
+    What is found, a row for each distinct value, is stored: its size is known, and if it is small the rows stay where
+    they are. Dealt by value, all rows of a frequent one would be sorted in one task.
+    """
+    found = materialise(match_categories(df, raw, dim, threshold, scorer, low_scores=False).select(
+        F.col(raw).alias("_raw"), F.col("master").alias("_master")), "categories")
     joined = df.join(found, F.col(raw) == F.col("_raw"), "left")
     return joined.withColumn(out, F.coalesce("_master", F.lit(K.UNMAPPED))).drop("_raw", "_master")
 

@@ -14,6 +14,10 @@ from vitrine.functions.text import strip
 from vitrine.operators.categories import normalize_categories
 from vitrine.schema import ALERT
 
+#: Rows with their alerts that one task sorts by code, and values of the hash by which codes are counted.
+TASK_ROWS = 250_000
+HASHES = 1 << 16
+
 _NAME_UNUSUAL = r"(?U)[^\w\s" + K.NAME_EXTRA_CHARACTERS + "]"
 
 
@@ -157,15 +161,27 @@ def duplicate_alerts(df: DataFrame, key: str = "codigo") -> DataFrame:
         F.lit(True), "warning", "codigo", _text("code_duplicate", c), c).alias("alert"))
 
 
-def validate_batch(df: DataFrame, order: list[str], key: str = "codigo", alerts: str = "alertas") -> DataFrame:
-    """Alerts per code: the last row (by ``order``) that has any wins, then the duplicate warning.
+def _by_code(df: DataFrame, by: list[str], *aggs: Column) -> DataFrame:
+    """``aggs`` for each code (``by``), whose buffers are wide and so are sorted, not hashed.
 
-    One shuffle on the code: the last list is an aggregate with partial results, so a code on
-    every page sends one row per task.
+    Rows are dealt to as many tasks as their number asks for. Codes are counted by hash first: those that may be
+    too large for one task go through partial results instead, which leave one row of a code a task.
     """
+    hashed = F.pmod(F.xxhash64(*by), F.lit(HASHES)).cast("int")
+    sizes = {r["_hash"]: r["count"] for r in df.groupBy(hashed.alias("_hash")).count().collect()}  # HASHES rows at most
+    few = lambda part: part.repartition(max(1, -(-sum(sizes.values()) // TASK_ROWS)), *by).groupBy(*by).agg(*aggs)
+    large = [h for h, n in sizes.items() if n > TASK_ROWS]
+    if not large:
+        return few(df)
+    return few(df.where(~hashed.isin(large))).unionByName(df.where(hashed.isin(large)).groupBy(*by).agg(*aggs))
+
+
+def validate_batch(df: DataFrame, order: list[str], key: str = "codigo", alerts: str = "alertas") -> DataFrame:
+    """Alerts per code: the last row (by ``order``) that has any wins, then the duplicate warning."""
     has = F.size(alerts) > 0
     c = F.col(key)
-    per_code = df.where(c.isNotNull()).groupBy(key).agg(
+    per_code = _by_code(
+        df.where(c.isNotNull()).select(key, *(x for x in order if x != key), alerts), [key],
         F.max_by(F.when(has, F.col(alerts)), F.when(has, F.struct(*order))).alias("_last"),
         F.count(F.lit(1)).alias("_n"),
     )
@@ -227,7 +243,8 @@ def report(df: DataFrame, order: list[str], catalog: str = "source_file", alerts
     """Per catalogue: a summary row each, and the details, one row per code with issues."""
     has = F.size(alerts) > 0
     c = F.col("codigo")
-    per_code = df.where(c.isNotNull()).groupBy(catalog, "codigo").agg(
+    per_code = _by_code(
+        df.where(c.isNotNull()).select(catalog, "codigo", *(x for x in order if x not in (catalog, "codigo")), alerts), [catalog, "codigo"],
         F.max_by(F.when(has, F.col(alerts)), F.when(has, F.struct(*order))).alias("_last"),
         F.count(F.lit(1)).alias("_n"),
     )
