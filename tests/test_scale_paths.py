@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -398,3 +399,18 @@ def test_topics_do_not_hang_on_partitions(spark):
     for topic, rank, term, w in one:
         assert abs(np.sort(weight[:, topic])[-rank] - w) < 1e-9 and abs(weight[vocab.index(term), topic] - w) < 1e-9
     assert T.topics(df.limit(0), "id", "t").count() == 0
+
+
+def test_texts_are_cut_in_pieces_of_bounded_size(spark):
+    long = "x" * T.PIECE
+    texts = pa.array([None, "", "ab"] + [long[: T.PIECE // 4]] * 12 + [long * 3, "", None, "b"])
+    pieces = T._pieces(texts)
+    assert [i for a, n in pieces for i in range(a, a + n)] == list(range(len(texts))) and T._pieces(texts[:0]) == []
+    assert all(n > 0 and sum(len(t or "") for t in texts[a:a + n - 1].to_pylist()) <= T.PIECE for a, n in pieces)
+    # a batch of several pieces: weights as of one text alone
+    words = [f"aa{i % 7} bb{i % 5} " * 20_000 if i % 2 else f"aa{i % 7}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(words)) + [(60, None), (61, "")], "id long, t string").coalesce(1)
+    got = {}
+    for r in T.vectors(df, "id", "t")[0].collect():
+        got[r["id"]] = (len(r["codes"]), round(sum(w * w for w in r["weights"]), 9), sum(r["tfs"]))
+    assert got == {**{i: (2, 1.0, 40_000) if i % 2 else (1, 1.0, 1) for i in range(60)}, 60: (0, 0, 0), 61: (0, 0, 0)}
