@@ -414,3 +414,18 @@ def test_texts_are_cut_in_pieces_of_bounded_size(spark):
     for r in T.vectors(df, "id", "t")[0].collect():
         got[r["id"]] = (len(r["codes"]), round(sum(w * w for w in r["weights"]), 9), sum(r["tfs"]))
     assert got == {**{i: (2, 1.0, 40_000) if i % 2 else (1, 1.0, 1) for i in range(60)}, 60: (0, 0, 0), 61: (0, 0, 0)}
+
+
+@pytest.mark.parametrize("small", [0, 3, 8])
+def test_sets_of_small_groups_need_no_bitmaps(spark, monkeypatch, small):
+    monkeypatch.setattr(I, "SMALL", small, raising=False)
+    stored, write = [], I.materialise
+    monkeypatch.setattr(I, "materialise", lambda df, label: stored.append(label) or write(df, label))
+    rng = random.Random(3)
+    groups = {g: {i for i in "abcdefg" if rng.random() < 0.55} for g in range(300)}
+    rows = [(g, i) for g, own in groups.items() for i in own] * 2 + [(None, "a"), (400, None)]
+    counts = Counter(c for own in groups.values() for k in range(1, 8) for c in combinations(sorted(own), k))
+    want = {c: n for c, n in counts.items() if n / sum(map(bool, groups.values())) >= 0.08}
+    got = {tuple(r["items"]): r["count"] for r in I.frequent_itemsets(spark.createDataFrame(rows, "g int, i string"), ["g"], "i", 0.08).collect()}
+    assert got == want and max(map(len, got)) >= 4
+    assert ("bitmaps" in stored) == (small < 7)

@@ -1,6 +1,7 @@
-"""Frequent item sets and rules between them, by intersecting bitmaps of groups.
+"""Frequent item sets and rules between them, by writing out the sets of small groups and intersecting bitmaps of large ones.
 
-Groups are numbered in blocks of 4,096; a row holds one item set's groups in one block as 64 words of 64
+Equal groups of up to ``SMALL`` items are counted once, and their sets of each size go straight into a partial
+aggregation. Larger groups are numbered in blocks of 4,096; a row holds one item set's groups in one block as 64 words of 64
 bits. Two sets that share all but their last item meet block by block, the words are joined by a bit
 operation and the bits left are counted, so a set's support is a sum over blocks and no group is ever
 gathered. Candidates come from pairs counted first and from sets all of whose parts are frequent. The bar is
@@ -17,6 +18,8 @@ from vitrine.session import materialise
 
 WORDS = 64
 BLOCK = WORDS * 64
+#: Items of a group whose sets are written out: 70 of one size at most.
+SMALL = 8
 
 
 def support_bar(groups: int, min_support: float) -> int:
@@ -71,6 +74,17 @@ def _count(bits: str):
     return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x))
 
 
+def _sets_of(baskets: DataFrame, size: int) -> DataFrame:
+    """How many small groups hold each set of ``size`` items: items, count."""
+    items = F.col("_items")
+    made = F.transform(items, lambda x, i: F.struct(F.array(x).alias("s"), i.alias("at")))
+    for _ in range(size - 1):
+        made = F.flatten(F.transform(made, lambda p: F.transform(F.slice(items, p["at"] + 2, F.size(items)), lambda y, j: F.struct(
+            F.concat(p["s"], F.array(y)).alias("s"), (p["at"] + 1 + j).alias("at")))))
+    each = baskets.where(F.size(items) >= size).select(F.explode(F.transform(made, lambda p: p["s"])).alias("items"), "_w")
+    return each.groupBy("items").agg(F.sum("_w").alias("count"))
+
+
 def frequent_itemsets(df: DataFrame, group: list[str], item: str, min_support: float, max_size: int | None = None) -> DataFrame:
     """``items`` (sorted), ``count``: every set of items, of up to ``max_size``, that is whole in at least the
     share ``min_support`` of the groups with an item. Nulls take no part; an item twice in a group counts once."""
@@ -83,22 +97,34 @@ def frequent_itemsets(df: DataFrame, group: list[str], item: str, min_support: f
     found = ones.select(F.array("_item").alias("items"), "count")
     if max_size == 1:
         return found
-    # no rarer item can be in a set; what is left of a group is enough to number it
+    # no rarer item can be in a set
     members = members.join(ones.select("_item"), "_item", "left_semi")
-    bitmaps = materialise(group_bitmaps(members, group, groups), "bitmaps")
-    # pairs that occur are far fewer than pairs of items, so they are counted without bitmaps
-    pairs = pair_counts(members, group, "_item").where(F.col("count") >= bar)
-    sets = materialise(pairs.select(F.array("a", "b").alias("items"), "count"), "sets")
-    made = sets.select("items", F.array(F.col("items")[0]).alias("a"), F.array(F.col("items")[1]).alias("b"))
-    bitmaps, size = _met(made, bitmaps), 2
+    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    small = members.join(sizes.where(F.col("_n").between(2, SMALL)).drop("_n"), group)
+    baskets = small.groupBy(*group).agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+    baskets = materialise(baskets.groupBy("_items").agg(F.count(F.lit(1)).alias("_w")), "baskets")
+    large = materialise(members.join(sizes.where(F.col("_n") > max(1, SMALL)).drop("_n"), group), "large")
+    several = large.select(*group).distinct().count()
+    counts, bitmaps, size = _sets_of(baskets, 2), None, 2
+    if several:
+        # pairs that occur are far fewer than pairs of items, so they are counted without bitmaps
+        counts = counts.unionByName(pair_counts(large, group, "_item").select(F.array("a", "b").alias("items"), "count"))
     while True:
+        counts = counts.groupBy("items").agg(F.sum("count").alias("count")).where(F.col("count") >= bar)
+        sets = materialise(counts, "sets")
         found = found.unionByName(sets)
         if size == max_size or sets.isEmpty():
             return found
-        bitmaps = materialise(_met(_candidates(sets, size), materialise(bitmaps, "bitmaps")), "bitmaps")
-        counts = bitmaps.groupBy("items").agg(F.sum(_count("bits")).alias("count")).where(F.col("count") >= bar)
-        sets, size = materialise(counts, "sets"), size + 1
-        bitmaps = bitmaps.join(sets.select("items"), "items", "left_semi")
+        counts = _sets_of(baskets, size + 1)
+        if several:
+            if bitmaps is None:
+                made = sets.select("items", F.array(F.col("items")[0]).alias("a"), F.array(F.col("items")[1]).alias("b"))
+                bitmaps = _met(made, materialise(group_bitmaps(large, group, several), "bitmaps"))
+            else:
+                bitmaps = bitmaps.join(sets.select("items"), "items", "left_semi")
+            bitmaps = materialise(_met(_candidates(sets, size), materialise(bitmaps, "bitmaps")), "bitmaps")
+            counts = counts.unionByName(bitmaps.groupBy("items").agg(F.sum(_count("bits")).alias("count")))
+        size += 1
 
 
 def itemset_rules(
