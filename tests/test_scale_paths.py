@@ -429,3 +429,28 @@ def test_sets_of_small_groups_need_no_bitmaps(spark, monkeypatch, small):
     got = {tuple(r["items"]): r["count"] for r in I.frequent_itemsets(spark.createDataFrame(rows, "g int, i string"), ["g"], "i", 0.08).collect()}
     assert got == want and max(map(len, got)) >= 4
     assert ("bitmaps" in stored) == (small < 7)
+
+
+def test_vectors_go_out_once_a_tile(spark, monkeypatch):
+    # blocks of ten vectors, tiles of several blocks: what goes out grows with the tiles, not with postings or opened blocks
+    monkeypatch.setattr(SI, "BLOCK", 10)
+    monkeypatch.setattr(SI, "TILES", 3)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(30)], k=rng.randint(1, 9)))) for i in range(200)] + [(900, None), (None, "w1")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    groups, _ = SI._distinct(T.vectors(df, "id", "t")[0], "id", [])
+    dealt, blocks = SI.blocks_of_alike(groups, 1.0, [])
+    sent = SI.in_tiles(SI.own_best(dealt, 5, 1.0, []))
+    assert blocks > 9 and sent.groupBy("block").count().agg(F.max("count")).first()[0] <= 3
+    assert sent.where("i <= j AND (tile = i OR tile = j)").count() == sent.count()
+    # every pair of blocks has one cell
+    held = [(r["i"], r["j"], r["block"]) for r in sent.select("i", "j", "block").collect()]
+    cells = Counter((a, b) for i, j, a in held for k, m, b in held if (i, j) == (k, m) and a < b and (i == j or a // (-(-blocks // 3)) != b // (-(-blocks // 3))))
+    own = {b for _, _, b in held}
+    assert cells == Counter(combinations(sorted(own), 2))
+    # the answers of one tile a block and of tiles of many are the same
+    several = sorted(map(tuple, SI.similar_items(df.where("id IS NOT NULL"), "id", "t", 3).collect()))
+    pairs = sorted(map(tuple, SI.cosine_pairs(df.where("id IS NOT NULL"), "id", "t", 0.5).collect()))
+    monkeypatch.setattr(SI, "TILE_BYTES", 1)
+    assert several == sorted(map(tuple, SI.similar_items(df.where("id IS NOT NULL"), "id", "t", 3).collect())) and len(several) == 603
+    assert pairs == sorted(map(tuple, SI.cosine_pairs(df.where("id IS NOT NULL"), "id", "t", 0.5).collect())) and len(pairs) > 20
