@@ -35,3 +35,15 @@ def test_retries_parse_answers_for_their_items_alone(spark, tmp_path):
     assert "parse_json" not in plan("s14_still_failed")
     scans = [line for line in plan("s14_merge_retry").split("\n") if "raw_response" in line and "Relation" in line]
     assert len(scans) == 1
+
+
+def test_queries_of_few_columns_work_out_no_others(spark, tmp_path):
+    folder = tables(spark, tmp_path)
+    for name, held, left_out in (("u02_duplicate_codes", "l_partkey", "l_extendedprice"), ("a26_combo_links", "l_discount", "l_extendedprice")):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        used = "".join(line for line in plan.split("\n") if "Relation " not in line)
+        assert held in used and left_out not in used
+    before = [sorted(map(str, QUERIES[n](spark, folder).collect())) for n in ("u02_duplicate_codes", "a26_combo_links", "a25_combo_edges", "m13_category_pairs_code")]
+    assert before[0] == ["Row(codigo='00001', count=4)", "Row(codigo='00002', count=4)"]
+    products(spark, folder).count()  # now the table is stored, and gives the same
+    assert before == [sorted(map(str, QUERIES[n](spark, folder).collect())) for n in ("u02_duplicate_codes", "a26_combo_links", "a25_combo_edges", "m13_category_pairs_code")]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine import constants as K
 from vitrine.operators import filters as FI, ranking as R, stats as S
-from vitrine.plans.products import BRANDS, CYCLES, featured, on_features, on_products, products
+from vitrine.plans.products import BRANDS, CYCLES, featured, on_features, on_products, products, products_with
 from vitrine.plans.registry import msum, query, rnd, table
 
 PCT = lambda c: f"100.0 * COUNT(*) FILTER (WHERE {c}) / COUNT(*)"
@@ -390,9 +390,9 @@ def w05(spark, d):
 
 @query("u01_distinct_lines", on_products("SELECT DISTINCT linha FROM p WHERE linha IS NOT NULL"))
 def u01(spark, d):
-    return R.distinct_list(products(spark, d), "linha")
+    return R.distinct_list(products_with(spark, d, ["linha"]), "linha")
 
 
 @query("u02_duplicate_codes", on_products("SELECT codigo, COUNT(*) AS count FROM p GROUP BY 1 HAVING COUNT(*) > 1"))
 def u02(spark, d):
-    return R.duplicate_keys(products(spark, d), "codigo")
+    return R.duplicate_keys(products_with(spark, d, ["codigo"]), "codigo")

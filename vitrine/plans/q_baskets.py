@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine import constants as K
 from vitrine.operators import baskets as B, clusters as CL, itemsets as I
-from vitrine.plans.products import on_features, on_products, products, featured
+from vitrine.plans.products import on_features, on_products, products, products_with, featured
 from vitrine.plans.registry import query, rnd, table
 
 PAGE = ["source_file", "pagina"]
@@ -34,7 +34,8 @@ def m13(spark, d):
 
 @query("m13_category_pairs_code", on_products("WITH " + PAIRS["code"] + PAIR_TAIL + " SELECT * FROM pairs ORDER BY count DESC, a, b LIMIT 15"))
 def m13b(spark, d):
-    return B.top_pairs(B.category_pairs(products(spark, d), "promo_type", "code"), 15)
+    p = products_with(spark, d, [*PAGE, "codigo", "promo_type"], stored=True)
+    return B.top_pairs(B.category_pairs(p, "promo_type", "code"), 15)
 
 
 @query("m14_cooccurrence_matrix", on_products("WITH " + PAIRS["page"] + PAIR_TAIL + """, m AS (SELECT a, b, count FROM pairs UNION ALL SELECT b, a, count FROM pairs)
@@ -43,23 +44,24 @@ def m14(spark, d):
     return B.cooccurrence_matrix(B.category_pairs(products(spark, d), "promo_type", "page"), K.PROMO_TYPES)
 
 
+COMBO = ["codigo", "combo_codes", "promo_type", "brand", "categoria_normalizada"]
 EDGES = "e AS (SELECT pagina, pos, codigo AS source, unnest(combo_codes) AS target, brand, categoria_normalizada AS category FROM p WHERE promo_type = 'combo')"
 
 
 @query("a25_combo_edges", on_products(f"WITH {EDGES} SELECT source, target, brand, category FROM e"))
 def a25(spark, d):
-    return B.combo_edges(products(spark, d))
+    return B.combo_edges(products_with(spark, d, COMBO))
 
 
 @query("a26_combo_links", on_products(f"WITH {EDGES} SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM e"))
 def a26(spark, d):
-    return B.combo_graph(B.combo_edges(products(spark, d)))[0]
+    return B.combo_graph(B.combo_edges(products_with(spark, d, COMBO)))[0]
 
 
 @query("a26_combo_degree", on_products(f"""WITH {EDGES}, l AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM e)
 SELECT node, COUNT(*) AS degree FROM (SELECT a AS node FROM l UNION ALL SELECT b FROM l) GROUP BY 1"""))
 def a26b(spark, d):
-    return B.combo_graph(B.combo_edges(products(spark, d)))[1]
+    return B.combo_graph(B.combo_edges(products_with(spark, d, COMBO)))[1]
 
 
 @query("d07_combo_saving", on_products(f"""WITH {EDGES}, c AS (SELECT codigo, AVG(preco_regular) AS price FROM p GROUP BY 1)
