@@ -401,6 +401,42 @@ def test_topics_do_not_hang_on_partitions(spark):
     assert T.topics(df.limit(0), "id", "t").count() == 0
 
 
+def test_topics_leave_the_texts_where_they_are(spark, monkeypatch, capsys):
+    rng, stored, store, rounds = random.Random(8), [], T.materialise, 3
+    df = spark.createDataFrame([(i, " ".join(f"w{rng.randint(10, 25)}" for _ in range(12))) for i in range(900)], "id long, t string")
+
+    def kept(made, label, **options):
+        if label == "topics":
+            made.explain()
+        stored.append((store(made, label, **options), label))
+        return stored[-1][0]
+
+    monkeypatch.setattr(T, "materialise", kept)
+    assert T.topics(df, "id", "t", k=3, terms=5, rounds=rounds).count() == 15
+    assert sum(made.count() for made, label in stored if label == "topics") == 16  # a row a term, none for a text in a round
+    assert capsys.readouterr().out.count("Bucketed: true") == rounds  # the blocks are read where they are, in each round
+    assert not spark.catalog.listTables()
+
+
+def test_topics_count_rows_of_one_id_as_one_text(spark):
+    nan, rng = math.nan, random.Random(9)
+    rows = [(nan, "aa " * 700 + "bb only"), (0.0, "bb dd"), (nan, "only aa ee"), (-0.0, "only2 dd cc"), (3.0, "aa bb ee"), (nan, "cc " * 255), (0.0, None), (0.0, "only2 " * 300), (None, "only only2")]
+    rows += [(float(rng.randint(3, 9)), f"{rng.choice(['aa', 'cc', 'ee'])} {rng.choice(['bb', 'dd', 'ff'])}") for _ in range(60)]
+    whole = {}
+    for i, t in rows:
+        if i is not None:
+            whole.setdefault(str(i + 0.0), []).append(t or "")
+    merged = spark.createDataFrame([(i, " ".join(t)) for i, t in whole.items()], "id string, t string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # texts go on from batch to batch
+    try:
+        got = sorted(map(tuple, T.topics(spark.createDataFrame(rows, "id double, t string"), "id", "t", k=2, terms=9, rounds=4).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted(map(tuple, T.topics(merged, "id", "t", k=2, terms=9, rounds=4).collect()))
+    assert {r[2] for r in got} == {"aa", "bb", "cc", "dd", "ee", "ff"}
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-9)
+
+
 def test_texts_are_cut_in_pieces_of_bounded_size(spark):
     long = "x" * T.PIECE
     texts = pa.array([None, "", "ab"] + [long[: T.PIECE // 4]] * 12 + [long * 3, "", None, "b"])
