@@ -355,6 +355,35 @@ def test_points_of_the_silhouette_go_to_few_rows_of_cells():
         assert rows * columns >= min(48, points // 2_048)
 
 
+@pytest.mark.parametrize("rows, columns", [(7, 3), (14, 4), (1, 1), (2, 5)])
+def test_two_rows_of_points_meet_in_one_cell(spark, rows, columns):
+    blocks = spark.createDataFrame([(i, 2 * i + k) for i in range(rows) for k in (0, 1)], "row int, block int")
+    cells = {}
+    for r in CL.in_cells(blocks, rows, columns).collect():
+        cells.setdefault((r["i"], r["j"]), {True: set(), False: set()})[r["own"]].add(r["row"])
+    assert all(c[True] == {i} for (i, _), c in cells.items())
+    met = Counter(frozenset((i, other)) for (i, _), c in cells.items() for other in c[False])
+    assert met == Counter(map(frozenset, combinations(range(rows), 2)))
+    assert all((i, i * columns // rows) in cells for i in range(rows))
+
+
+def test_sums_of_distances_are_those_of_all_pairs(monkeypatch):
+    monkeypatch.setattr(CL, "MEET", 16)
+    rng = np.random.default_rng(3)
+    models = [rng.normal(size=(k, 3)) for k in (2, 5)]
+    blocks = [[{"x": rng.normal(size=(n, 3)), "n": rng.integers(1, 4, n)} for n in sizes] for sizes in ((40, 3), (1, 70), ())]
+    one, two, none = (CL._Side(b, models) for b in blocks)
+    for other in (two, none, one):
+        CL._meet(one, other)
+    every = [r for b in blocks for r in b]
+    y, n = np.concatenate([r["x"] for r in every]), np.concatenate([r["n"] for r in every])
+    for side, others in ((one, slice(None)), (two, slice(43))):
+        for block, sums in side.out():
+            far = np.sqrt(((block["x"][:, None] - y[None, others]) ** 2).sum(axis=2)) * n[others]
+            want = [far[:, CL._nearest(y[others], m)[0] == c].sum(axis=1) for m in models for c in range(len(m))]
+            assert np.allclose(sums, np.stack(want, axis=1), rtol=1e-12)
+
+
 def test_periods_are_counted_and_not_rows(spark):
     rows = [("a", c, float(c * c), True) for c in range(1, 27) if c not in (9,)]
     df = spark.createDataFrame(rows, "k string, c int, preco_regular double, promocao_ativa boolean")
