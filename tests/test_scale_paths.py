@@ -519,3 +519,27 @@ def test_vectors_go_out_once_a_tile(spark, monkeypatch):
     monkeypatch.setattr(SI, "TILE_BYTES", 1)
     assert several == sorted(map(tuple, SI.similar_items(df.where("id IS NOT NULL"), "id", "t", 3).collect())) and len(several) == 603
     assert pairs == sorted(map(tuple, SI.cosine_pairs(df.where("id IS NOT NULL"), "id", "t", 0.5).collect())) and len(pairs) > 20
+
+
+def test_one_tile_is_held_and_the_other_passes_by(spark, monkeypatch):
+    monkeypatch.setattr(SI, "BLOCK", 10)
+    monkeypatch.setattr(SI, "TILES", 4)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(30)], k=rng.randint(1, 9)))) for i in range(150)]
+    groups, _ = SI._distinct(T.vectors(spark.createDataFrame(rows, "id long, t string"), "id", "t")[0], "id", [])
+    sent = SI.in_cells(SI.in_tiles(SI.own_best(SI.blocks_of_alike(groups, 1.0, [])[0], 3, 1.0, []))).repartition(1).sortWithinPartitions("i", "j", "tile", "block")
+    batches = sent.toArrow().to_batches()
+    met = Counter()
+    for a, _, b, _ in SI._meetings(iter(batches), False):
+        met.update([] if b is None else [frozenset((a.number, b.number))])
+    assert met == Counter(map(frozenset, combinations(sorted({n for pair in met for n in pair}), 2))) and len(met) > 20
+    # of a cell of two tiles the blocks of the second one are given back before those of the first
+    given = [a for a, _, b, _ in SI._meetings(iter(batches), False) if b is None]
+    cells = sent.select("i", "j", "tile", "block").collect()
+    pair = next((r["i"], r["j"]) for r in cells if r["i"] < r["j"])
+    own = [r["block"] for r in cells if (r["i"], r["j"]) == pair and r["tile"] == pair[1]] + [r["block"] for r in cells if (r["i"], r["j"]) == pair and r["tile"] == pair[0]]
+    start = sum((r["i"], r["j"]) < pair for r in cells)
+    assert [a.number for a in given][start : start + len(own)] == own and len(given) == len(cells)
+    table = sent.where((F.col("i") == pair[0]) & (F.col("j") == pair[1])).toArrow()
+    with pytest.raises(RuntimeError):
+        list(SI._meetings(iter(table.take(pa.array(range(table.num_rows - 1, -1, -1))).combine_chunks().to_batches()), False))
